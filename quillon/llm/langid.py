@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 DIM = 2048
 GRAMS = (2, 3)
 SAMPLE_PER_LABEL = 300
-SEGMENTS_PER_LABEL = 1200
+SEGMENTS_PER_LABEL = 500
 PIECE_CHARS = 150_000
 LEAST_LETTERS = {"cjk": 4, "other": 12}
 #: Code, three-letter codes and English name of the languages told apart.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,8 +68,9 @@ def land(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def _flights(last: bool):
-    def run(key, d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("doc_id").reset_index(drop=True)
+    def run(d: pd.DataFrame) -> pd.DataFrame:
+        # the largest documents first, so that what is left undecided is small
+        d = d.sort_values(["tokens", "doc_id"], ascending=[False, True]).reset_index(drop=True)
         rng = np.random.default_rng([SEED, int(last), len(d), int(d["doc_id"].iloc[0]) & 0xFFFFFFFF])
         t = d["tokens"].to_numpy(np.int64)
         p = flight(d["p"].to_numpy(float), t, rng)
