@@ -13,64 +13,67 @@ BROADCAST_ROWS = 200_000
 
 
 def tidy_links(links: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """(s, t): links between different, non-blank keys, trimmed and in lower case; parallel links remain."""
-    return links.select(tidy_name(source).alias("s"), tidy_name(target).alias("t")).where("s is not null and t is not null and s != t")
+    """(s, t): all links, with keys trimmed and in lower case; blank keys are null."""
+    return links.select(tidy_name(source).alias("s"), tidy_name(target).alias("t"))
 
 
-def heavy_keys(links: DataFrame, *, share: float = HEAVY_SHARE, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Keys that hold at least about `share` of the ends of (s, t) links, found in a sample of some `sample_rows` links.
+def heavy_keys(links: DataFrame, *, source: str = "source", target: str = "target", share: float = HEAVY_SHARE, sample_rows: int = SAMPLE_ROWS) -> list[str]:
+    """Keys that hold at least about `share` of the ends of links, found in a sample of some `sample_rows` links.
 
     At most 2 / share keys can come out, so the list may be broadcast whatever the size of the data. A key
     missed or added by chance only changes which of two equivalent ways its rows go.
     """
     n = links.count()
     part = links if n <= sample_rows else links.sample(sample_rows / n, seed=11)
-    ends = part.select(F.explode(F.array("s", "t")).alias("k"))
+    ends = tidy_links(part, source, target).select(F.explode(F.array("s", "t")).alias("k"))
     least = max(2.0, share * min(n, sample_rows))
-    return [r["k"] for r in ends.groupBy("k").count().where(F.col("count") >= least).orderBy(F.desc("count"), "k").limit(int(2 / share)).collect()]
+    return [r["k"] for r in ends.groupBy("k").count().where((F.col("count") >= least) & F.col("k").isNotNull()).orderBy(F.desc("count"), "k").limit(int(2 / share)).collect()]
 
 
 def reciprocal_pairs(links: DataFrame, *, source: str = "source", target: str = "target", share: float = HEAVY_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(key_a, key_b), key_a < key_b: the pairs of keys linked in both directions, once each.
 
-    A key's out-links are joined with its in-links. Heavy keys are found in a sample. Links of a heavy key carry
-    that key as `h`: the smaller of its two directions is broadcast and the larger one streams past it without a
-    shuffle, smallest keys first while all broadcast rows together stay within `broadcast_rows`; for heavy keys
-    beyond that, links are reduced before a shuffle by both ends, which spreads one key over all tasks. All other
-    links take an ordinary shuffle join. The three parts are disjoint by pair and are united.
+    Heavy keys are found in a sample. A link of a heavy key carries that key as `h` and the other end as `o`: the
+    smaller of the key's two directions is broadcast and the larger one streams past it without a shuffle,
+    smallest keys first while all broadcast rows together stay within `broadcast_rows`. Links of heavy keys
+    beyond that and all other links are reduced to one row per pair before an ordinary shuffle by both ends,
+    which spreads even one key over all tasks. The parts are disjoint by pair and are united.
 
     Null and blank keys and links of a key to itself don't count; keys are compared trimmed and in lower case;
     parallel and repeated links count once. Empty tables give no rows; extra columns are ignored.
     """
-    e = tidy_links(links, source, target)
-    heavy = heavy_keys(e, share=share)
-    spark = links.sparkSession
-    hs = F.broadcast(spark.createDataFrame([(k,) for k in heavy], "k string"))
-    e = e.join(hs.select(F.col("k").alias("s"), F.lit(True).alias("hs")), "s", "left").join(hs.select(F.col("k").alias("t"), F.lit(True).alias("ht")), "t", "left")
-    light = e.where("hs is null and ht is null")
-    ahead, back = light.where("s < t").select("s", "t").distinct(), light.where("s > t").select(F.col("t").alias("s"), F.col("s").alias("t")).distinct()
-    parts = [ahead.join(back, ["s", "t"]).select("s", "t")]
+    heavy = heavy_keys(links, source=source, target=target, share=share)
+    spark, e = links.sparkSession, tidy_links(links, source, target)
+    plan = []
     if heavy:
-        own_s = F.expr("hs is not null and (ht is null or s < t)")  # a link between two heavy keys belongs to the smaller one
-        hot = e.where("hs is not null or ht is not null").select(F.when(own_s, F.col("s")).otherwise(F.col("t")).alias("h"), F.when(own_s, F.col("t")).otherwise(F.col("s")).alias("o"), own_s.alias("out"))
+        hot = _hot(e, F.broadcast(spark.createDataFrame([(k,) for k in heavy], "k string")))
         n_out, n_in = F.count(F.when(F.col("out"), 1)).alias("n_out"), F.count(F.when(~F.col("out"), 1)).alias("n_in")
-        sides = sorted(((min(r["n_out"], r["n_in"]), r["h"], r["n_out"] < r["n_in"]) for r in hot.groupBy("h").agg(n_out, n_in).collect()), key=lambda x: x[:2])
-        plan, used = [], 0
-        for least, key, out in sides:
+        sides = sorted((min(r["n_out"], r["n_in"]), r["h"], r["n_out"] < r["n_in"]) for r in hot.groupBy("h").agg(n_out, n_in).collect())
+        used = 0
+        for least, key, small in sides:
             used += least
-            plan.append((key, out if used <= broadcast_rows else None))
-        hot = hot.join(F.broadcast(spark.createDataFrame(plan, "h string, small boolean")), "h")
+            if used > broadcast_rows:
+                break
+            plan.append((key, small))
+    small = F.broadcast(spark.createDataFrame(plan, "k string, small boolean"))
+    light = e if not plan else e.join(small.select(F.col("k").alias("s")), "s", "left_anti").join(small.select(F.col("k").alias("t")), "t", "left_anti").select("s", "t")
+    pair = light.groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.max(F.col("s") < F.col("t")).alias("ahead"), F.max(F.col("s") > F.col("t")).alias("back"))
+    out = pair.where("ahead and back").select("a", "b")
+    if plan:
+        hot = _hot(e, small).where("h != o")
         build = hot.where("out = small").select("h", "o").distinct()
-        probe = hot.where("out != small").select("h", "o")
-        both = [probe.join(F.broadcast(build), ["h", "o"], "left_semi").distinct()]
-        if used > broadcast_rows:
-            wide = hot.where("small is null").groupBy("h", "o").agg(F.max("out").alias("a"), F.min("out").alias("b"))
-            both.append(wide.where("a and not b").select("h", "o"))
-        parts += [x.select(F.least("h", "o").alias("s"), F.greatest("h", "o").alias("t")) for x in both]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out.select(F.col("s").alias("key_a"), F.col("t").alias("key_b"))
+        met = hot.where("out != small").join(F.broadcast(build), ["h", "o"], "left_semi").distinct()
+        out = out.union(met.select(F.least("h", "o"), F.greatest("h", "o")))
+    return out.select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))
+
+
+def _hot(e: DataFrame, keys: DataFrame) -> DataFrame:
+    """(h, o, out, ...): links that touch a key of `keys` (k, ...); a link between two of them belongs to the smaller one."""
+    rest = [c for c in keys.columns if c != "k"]
+    tag = lambda end: keys.select(F.col("k").alias(end), F.struct(F.lit(True).alias("is"), *rest).alias(f"k{end}"))
+    own = F.expr("ks is not null and (kt is null or s < t)")
+    both = e.join(tag("s"), "s", "left").join(tag("t"), "t", "left").where("ks is not null or kt is not null")
+    return both.select(F.when(own, F.col("s")).otherwise(F.col("t")).alias("h"), F.when(own, F.col("t")).otherwise(F.col("s")).alias("o"), own.alias("out"), *(F.when(own, F.col(f"ks.{c}")).otherwise(F.col(f"kt.{c}")).alias(c) for c in rest))
 
 
 def partner_counts(links: DataFrame, *, source: str = "source", target: str = "target") -> DataFrame:
@@ -80,7 +83,7 @@ def partner_counts(links: DataFrame, *, source: str = "source", target: str = "t
     heavy key costs its distinct partners and never meets in one task unreduced. links counts a verbatim
     repeated row again; the other figures don't.
     """
-    e = tidy_links(links, source, target).groupBy("s", "t").agg(F.count(F.lit(1)).alias("n"))
+    e = tidy_links(links, source, target).groupBy("s", "t").agg(F.count(F.lit(1)).alias("n")).where("s != t")
     ends = e.select(F.col("s").alias("k"), "n", F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("t", "n", F.lit(0), F.lit(1)))
     total = ends.groupBy("k").agg(F.sum("n").alias("links"), F.sum("o").alias("partners_out"), F.sum("i").alias("partners_in"))
     both = reciprocal_pairs(links, source=source, target=target)

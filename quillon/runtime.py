@@ -40,8 +40,11 @@ def epoch_us(col: Column | str) -> Column:
     return F.unix_date(F.to_date(c)).cast("long") * 86_400_000_000 + (F.hour(c) * 60 + F.minute(c)).cast("long") * 60_000_000 + second.cast("long")
 
 
+#: What counts as blank around a name.
+BLANKS = " \t\n\r\x0b\x0c\u00a0\u3000"
+
+
 def tidy_name(col: Column | str) -> Column:
     """Names are compared without surrounding blanks and in lower case; blank ones become null."""
     c = F.col(col) if isinstance(col, str) else col
-    t = F.lower(F.regexp_replace(c, r"^[\s 　]+|[\s 　]+$", ""))
-    return F.when(t != "", t)
+    return F.nullif(F.lower(F.trim(c, F.lit(BLANKS))), F.lit(""))
