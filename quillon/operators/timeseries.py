@@ -44,7 +44,8 @@ def hopping(df: DataFrame, keys: list[str], seconds: int, slide: int, ts: str =
 
 
 def sessions(df: DataFrame, keys: list[str], gap_s: int, ts: str = "ts", value: str = "value") -> DataFrame:
-    return df.groupBy(*keys, F.session_window(ts, f"{gap_s} seconds").start.alias("start")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    w = df.groupBy(*keys, F.session_window(ts, f"{gap_s} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return w.select(*keys, F.col("w.start").alias("start"), "n", "total")
 
 
 def anchored_tumbling(df: DataFrame, keys: list[str], seconds: float, ts: str = "ts", value: str = "value") -> DataFrame:
