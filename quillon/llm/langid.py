@@ -216,6 +216,8 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", sample_per
     """Prototypes from a sample of about `sample_per_label` labelled documents a language (whole texts)."""
     known = docs.select(label_code(lang).alias("code"), F.col(text).alias("text")).where("code is not null and text is not null")
     n = {r["code"]: r["count"] for r in known.groupBy("code").count().collect()}
+    if not n:
+        return np.zeros((len(CODES), dim), np.float32)
     return fit(known.sampleBy("code", {k: min(1.0, sample_per_label / c) for k, c in n.items()}, seed=17).toPandas(), dim)
 
 

@@ -9,28 +9,47 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.ordered import HOT_ROWS, Segmented
+from quillon.operators.ordered import HOT_ROWS, MAX_HOT, Segmented
+from quillon.runtime import cut
 
 
 def _loadings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First principal component per search: loadings, oriented so that more is better in every column."""
+    """First principal component per group, oriented so that more is better in every column.
+
+    sums holds the products of all pairs of columns, summed over the group's items, with an item's constant 1
+    standing for the column "" (so sums of columns and the number of items are among them).
+    """
     for d in parts:
         rows = []
-        for g, n, cols, weights, means, sums in zip(d["g"], d["n"], d["cols"], d["weights"], d["sums"], d["products"]):
-            p = len(cols)
-            at = {c: i for i, c in enumerate(cols)}
-            second = np.zeros((p, p))
-            for s in sums:
-                second[at[s["a"]], at[s["b"]]] = s["x"]
-            mean = np.array(means, float) / n
-            cov = second / n - np.outer(mean, mean)
+        for g, weights, sums in zip(d["g"], d["weights"], d["sums"]):
+            at = {(s["a"], s["b"]): s["x"] for s in sums}
+            w = dict(weights)
+            cols = sorted(w)
+            n = at["", ""]
+            mean = np.array([at.get(("", c), 0.0) for c in cols]) / n
+            cov = np.array([[at.get((min(x, y), max(x, y)), 0.0) for y in cols] for x in cols]) / n - np.outer(mean, mean)
             sd = np.sqrt(np.maximum(np.diag(cov), 0))
             live = sd > 1e-12
-            corr = np.where(np.outer(live, live), cov / np.where(live, sd, 1)[:, None] / np.where(live, sd, 1)[None], 0)
-            first = np.abs(np.linalg.eigh(corr)[1][:, -1]) if live.any() else np.ones(p)
-            load = np.where(live, np.maximum(first, 0.1 * first.max()), 0) * np.array(weights, float)
-            rows += [(g, c, float(x), float(m), float(s) if s > 1e-12 else 1.0) for c, x, m, s in zip(cols, load, mean, sd)]
-        yield pd.DataFrame(rows, columns=["g", "c", "load", "mean", "sd"])
+            safe = np.where(live, sd, 1)
+            corr = np.where(np.outer(live, live), cov / safe[:, None] / safe[None], 0)
+            first = np.abs(np.linalg.eigh(corr)[1][:, -1]) if live.any() else np.ones(len(cols))
+            load = np.where(live, np.maximum(first, 0.1 * first.max()), 0) * np.array([w[c] for c in cols]) / safe
+            rows.append((g, dict(zip(cols, load.tolist()))))
+        yield pd.DataFrame(rows, columns=["g", "per"])
+
+
+def _places(s: DataFrame, limit: int | None) -> DataFrame:
+    """(g, item, c, down) with `rank` (ties share the first place), `ties` and `m`, the rows of the group's column.
+
+    Without a limit every group lies in one task; with one, groups of more rows are ranked in segments.
+    """
+    if limit is None:
+        w = Window.partitionBy("g", "c")
+        return s.withColumns({"m": F.count(F.lit(1)).over(w), "rank": F.rank().over(w.orderBy("down")), "ties": F.count(F.lit(1)).over(w.orderBy("down").rangeBetween(0, 0))})
+    seg = Segmented(s, ["g", "c"], "down", limit)
+    ties = F.count(F.lit(1)).over(Window.partitionBy("g", "c", "__seg", "down"))
+    df = seg.add_before(seg.df, F.lit(1), "before").withColumn("rank", F.rank().over(seg.window()) + F.col("before")).withColumn("ties", ties)
+    return df.join(s.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m")), ["g", "c"])
 
 
 def fuse_rankings(
@@ -46,46 +65,46 @@ def fuse_rankings(
     and multiplied by the weights. Items are sorted by their projection: an item that is no worse in every column
     never stands lower, and no column counts more because its numbers are larger.
 
-    Only columns with a weight above zero for the group count (of several the largest; null and NaN don't).
+    Only columns with a weight above zero for the group count (of several the largest; null and NaN don't, nor do null and empty column names).
     Null and NaN scores, columns without weight, null groups and items are left out; of several scores of an
     item in a column the highest counts, so repeated rows change nothing. An item without any counting score
     isn't ranked. Groups of more than `hot_rows` rows are ranked in segments. Empty tables give no rows; other
     columns are ignored. Columns: group, item, position (ties share the first place), projection, columns (how
     many count in the group), present (how many the item has), worst_rank (its lowest place in any of them).
     """
-    good = F.col(weight).isNotNull() & ~F.isnan(weight) & (F.col(weight) > 0) & F.col(group).isNotNull() & F.col(column).isNotNull()
-    w = specs.where(good).groupBy(F.col(group).alias("g"), F.col(column).alias("c")).agg(F.max(weight).alias("w"))
-    s = results.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("item"), F.explode(scores).alias("c", "x"))
-    s = s.where("x is not null and not isnan(x)").join(w.select("g", "c"), ["g", "c"], "left_semi")
+    kind = dict(results.dtypes)[group]
+    good = F.col(weight).isNotNull() & ~F.isnan(weight) & (F.col(weight) > 0) & F.col(group).isNotNull() & (F.length(column) > 0)
+    w = specs.where(good).groupBy(F.col(group).cast(kind).alias("g"), F.col(column).alias("c")).agg(F.max(weight).alias("w"))
+    w = w.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("c", "w"))).alias("weights"))  # one entry per declared column
+    r = results.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(scores).alias("scores"))
+    large = r.groupBy("g").count().where(F.col("count") > hot_rows).orderBy(F.desc("count"), "g").limit(MAX_HOT)
+    hot = [x["g"] for x in large.collect()]
+    out = [_fused((r.where(~F.col("g").isin(hot)) if hot else r).repartition("g"), w, kind, None)]
+    out += [_fused(r.where(F.col("g").isin(hot)), w, kind, hot_rows)] if hot else []
+    ranked = out[0] if len(out) == 1 else out[0].union(out[1])
+    return ranked.select(F.col("g").alias(group), F.col("item").alias(item), "position", "projection", "columns", "present", "worst_rank")
+
+
+def _fused(r: DataFrame, w: DataFrame, kind: str, limit: int | None) -> DataFrame:
+    """fuse_rankings over groups of one sort. Without a limit rows are partitioned by group once, and everything else keeps that."""
+    s = r.join(w, "g").select("g", "item", F.explode(F.map_filter("scores", lambda k, x: x.isNotNull() & ~F.isnan(x) & F.array_contains(F.map_keys("weights"), k))).alias("c", "x"))
     s = s.groupBy("g", "item", "c").agg((-F.max("x") + F.lit(0.0)).alias("down"))
-
-    seg = Segmented(s, ["g", "c"], "down", hot_rows)
-    df = seg.add_before(seg.df, F.lit(1), "before")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("g", "c", "__seg", "down"))
-    df = df.withColumn("rank", F.rank().over(seg.window()) + F.col("before")).withColumn("ties", ties)
-    size = s.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
-    df = df.join(size, ["g", "c"]).select("g", "item", "c", F.col("rank").cast("long").alias("rank"), ((F.col("m") - F.col("rank") - (F.col("ties") - 1) / 2 + 0.5) / F.col("m")).alias("p"))
+    df = _places(s, limit).select("g", "item", "c", F.col("rank").cast("long").alias("rank"), ((F.col("m") - F.col("rank") - (F.col("ties") - 1) / 2 + 0.5) / F.col("m")).alias("p"))
     items = df.groupBy("g", "item").agg(F.sort_array(F.collect_list(F.struct("c", "p", "rank"))).alias("xs"))  # one entry per counting column
 
-    pairs = items.select("g", F.explode("xs").alias("a"), "xs").select("g", "a", F.explode("xs").alias("b"))
-    pairs = pairs.groupBy("g", F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.sum(F.col("a.p") * F.col("b.p")).alias("x"))
-    pairs = pairs.groupBy("g").agg(F.collect_list(F.struct("a", "b", "x")).alias("products"))
-    n = items.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    sums = df.groupBy("g", "c").agg(F.sum("p").alias("sum"))
-    cols = w.join(sums, ["g", "c"], "left").groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "w", F.coalesce("sum", F.lit(0.0)).alias("s")))).alias("q"))
-    cols = cols.select("g", F.col("q.c").alias("cols"), F.col("q.w").alias("weights"), F.col("q.s").alias("sums"), F.size("q").alias("columns"))
-    model = n.join(pairs, "g").join(cols, "g")
-    kind = dict(model.dtypes)["g"]
-    load = model.select("g", "n", "cols", "weights", "sums", "products").mapInPandas(_loadings, f"g {kind}, c string, load double, mean double, sd double")
-    load = load.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("c", (F.col("load") / F.col("sd")).alias("l")))).alias("per"))
-
-    out = items.join(load, "g").join(cols.select("g", "columns"), "g")
+    one = F.concat(F.array(F.struct(F.lit("").alias("c"), F.lit(1.0).alias("p"))), F.transform("xs", lambda e: F.struct(e["c"].alias("c"), e["p"].alias("p"))))
+    pairs = items.select("g", one.alias("ys")).select("g", F.explode("ys").alias("a"), "ys").select("g", "a", F.explode("ys").alias("b")).where("a.c <= b.c")
+    sums = pairs.groupBy("g", F.col("a.c").alias("a"), F.col("b.c").alias("b")).agg(F.sum(F.col("a.p") * F.col("b.p")).alias("x"))
+    model = sums.groupBy("g").agg(F.collect_list(F.struct("a", "b", "x")).alias("sums")).join(w, "g")
+    load = model.mapInPandas(_loadings, f"g {kind}, per map<string, double>")
+
+    out = items.join(load, "g")
     proj = F.aggregate("xs", F.lit(0.0), lambda t, e: t + e["p"] * F.element_at(F.col("per"), e["c"]))
-    out = out.select("g", "item", proj.alias("projection"), "columns", F.size("xs").alias("present"), F.array_max(F.transform("xs", lambda e: e["rank"])).alias("worst_rank"))
-    out = out.withColumn("down", -F.col("projection"))
-    seg = Segmented(out, ["g"], "down", hot_rows)
-    out = seg.add_before(seg.df, F.lit(1), "before").withColumn("position", (F.rank().over(seg.window()) + F.col("before")).cast("long"))
-    return out.select(F.col("g").alias(group), F.col("item").alias(item), "position", "projection", "columns", "present", "worst_rank")
+    out = out.select("g", "item", proj.alias("projection"), F.size("per").alias("columns"), F.size("xs").alias("present"), F.array_max(F.transform("xs", lambda e: e["rank"])).alias("worst_rank")).withColumn("down", -F.col("projection"))
+    if limit is None:
+        return out.withColumn("position", F.rank().over(Window.partitionBy("g").orderBy("down")).cast("long"))
+    seg = Segmented(cut(out), ["g"], "down", limit)
+    return seg.add_before(seg.df, F.lit(1), "before").withColumn("position", (F.rank().over(seg.window()) + F.col("before")).cast("long")).drop("__seg", "before")
 
 
 def front(ranking: DataFrame, first: int = 5) -> DataFrame:

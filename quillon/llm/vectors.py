@@ -66,6 +66,8 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(vectors: DataFrame, indexes: list[dict], *, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS) -> dict[int, dict]:
     """Codebooks by index from a sample of about `sample_rows` vectors each, with the expected size of every cell."""
     counts = {r["idx"]: r["count"] for r in vectors.groupBy("idx").count().collect()}
+    if not counts:
+        return {}
     sample = vectors.sampleBy("idx", {k: min(1.0, sample_rows / n) for k, n in counts.items()}, seed=7).toPandas()
     books = {}
     for k, n in counts.items():
