@@ -40,6 +40,12 @@ def epoch_us(col: Column | str) -> Column:
     return F.unix_date(F.to_date(c)).cast("long") * 86_400_000_000 + (F.hour(c) * 60 + F.minute(c)).cast("long") * 60_000_000 + second.cast("long")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """More partitions, by hash of a key, where the input has too few for work that is heavy per row; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(4 * cores, key)
+
+
 #: What counts as blank around a name.
 BLANKS = " \t\n\r\x0b\x0c\u00a0\u3000"
 
