@@ -45,14 +45,7 @@ def find_loops(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     in_below = links.join(below, "n", "left_semi").join(below.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p")
     above = cut(_endless(in_below, "p", "n"))
     core = cut(in_below.join(above, "n", "left_semi").join(above.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p"))
-    reach, size = core, core.count()
-    while size:  # only nodes on loops or between two loops are left here
-        step = reach.alias("x").join(reach.alias("y"), F.col("x.p") == F.col("y.n")).select("x.n", "y.p")
-        reach = cut(reach.union(step).distinct())
-        now = reach.count()
-        if now == size:
-            break
-        size = now
+    reach = _pairs(core).select("n", F.col("anc").alias("p"))  # only nodes on loops or between two loops are left here
     mutual = reach.join(reach.select(F.col("p").alias("n"), F.col("n").alias("p")), ["n", "p"], "left_semi")
     return below, cut(mutual.groupBy("n").agg(F.min("p").alias("loop")))
 
@@ -95,21 +88,28 @@ def tops(rows: DataFrame, *, name: str = "class_name", parents: str = "superclas
     return clear.union(spread).select(F.col("n").alias("class_name"), F.col("top").alias("top_name"))
 
 
-def ancestor_pairs(links: DataFrame, loops: DataFrame) -> DataFrame:
-    """(n, anc, levels): all ancestors with the fewest levels between; a loop is one node, named by its smallest member."""
+def ancestor_pairs(links: DataFrame, loops: DataFrame | None) -> DataFrame:
+    """(n, anc, levels): all ancestors with the fewest levels between; a loop is one node, named by its smallest member.
+
+    Without `loops`, members of a loop are ancestors of each other and of themselves.
+    """
+    if loops is None:
+        return _pairs(links)
     tag = loops.select(F.col("n").alias("m"), "loop")
     l1 = links.join(tag.withColumnsRenamed({"m": "n", "loop": "ln"}), "n", "left").join(tag.withColumnsRenamed({"m": "p", "loop": "lp"}), "p", "left")
     free = l1.select(F.coalesce("ln", "n").alias("n"), F.coalesce("lp", "p").alias("p")).where("n != p").distinct()
-    found = cut(free.select("n", F.col("p").alias("anc"), F.lit(1).cast("long").alias("levels")))
-    size = found.count()
-    while size:
-        step = found.alias("x").join(found.alias("y"), F.col("x.anc") == F.col("y.n")).select("x.n", "y.anc", (F.col("x.levels") + F.col("y.levels")).alias("levels"))
-        found = cut(found.union(step).groupBy("n", "anc").agg(F.min("levels").alias("levels")))
-        now = found.count()
-        if now == size:
-            break
-        size = now
-    return found
+    return _pairs(free)
+
+
+def _pairs(free: DataFrame) -> DataFrame:
+    found, far = cut(free.select("n", F.col("p").alias("anc"), F.lit(1).cast("long").alias("levels"))), 1
+    while True:
+        # a shortest way of more than `far` levels begins with one of exactly `far`, so in a tree every pair is made once
+        edge = found.where(F.col("levels") == far)
+        if edge.isEmpty():
+            return found
+        step = edge.alias("x").join(found.alias("y"), F.col("x.anc") == F.col("y.n")).select("x.n", "y.anc", (F.col("x.levels") + F.col("y.levels")).alias("levels"))
+        found, far = cut(found.union(step).groupBy("n", "anc").agg(F.min("levels").alias("levels"))), 2 * far
 
 
 def hierarchy(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses") -> DataFrame:

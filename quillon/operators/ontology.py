@@ -105,16 +105,10 @@ class Ontology:
 
 def closure_pairs(links: DataFrame) -> DataFrame:
     """(child, ancestor): transitive closure of (child, parent) links, doubling its reach each round; loops are safe."""
-    found = cut(links.select("child", F.col("parent").alias("ancestor")).where("child is not null and parent is not null").distinct())
-    n = found.count()
-    while n:
-        step = found.alias("x").join(found.alias("y"), F.col("x.ancestor") == F.col("y.child")).select("x.child", "y.ancestor")
-        found = cut(found.union(step).distinct())
-        now = found.count()
-        if now == n:
-            break
-        n = now
-    return found
+    from quillon.operators.hierarchy import ancestor_pairs
+
+    l1 = links.select(F.col("child").alias("n"), F.col("parent").alias("p")).where("n is not null and p is not null").distinct()
+    return ancestor_pairs(l1, None).select(F.col("n").alias("child"), F.col("anc").alias("ancestor"))
 
 
 def _lookup(facts: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
