@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.runtime import spread
+
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Fixed value: the published pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -127,6 +129,7 @@ def token_ids(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", to
     are ignored.
     """
     enc = _encode(Tokenizer(docs.sparkSession, tokenizer, tokenizer_dir))
+    docs = spread(docs.select(doc_id, text), doc_id)
     cond = f"{text} is null or length({text}) <= {chunk}"
     short = docs.where(cond).select(F.col(doc_id).alias("doc_id"), enc(F.coalesce(text, F.lit(""))).alias("ids"))
     long = text_pieces(docs.where(f"length({text}) > {chunk}"), doc_id=doc_id, text=text, chunk=chunk, overlap=overlap)
@@ -137,6 +140,7 @@ def token_ids(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", to
 def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, tokens): the number of token ids of every text; rules as in token_ids."""
     count = _count(Tokenizer(docs.sparkSession, tokenizer, tokenizer_dir))
+    docs = spread(docs.select(doc_id, text), doc_id)
     cond = f"{text} is null or length({text}) <= {chunk}"
     short = docs.where(cond).select(F.col(doc_id).alias("doc_id"), count(F.coalesce(text, F.lit(""))).alias("tokens"))
     long = text_pieces(docs.where(f"length({text}) > {chunk}"), doc_id=doc_id, text=text, chunk=chunk, overlap=overlap)

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.runtime import spread
+
 DIM = 2048
 GRAMS = (2, 3)
 SAMPLE_PER_LABEL = 300
@@ -168,9 +170,17 @@ def fit(labelled: pd.DataFrame, dim: int = DIM, per_label: int = SEGMENTS_PER_LA
     Labels may be wrong and texts mixed: after each round only sentences that their label's prototype wins are
     bundled again; at the end sentences still misjudged are added to their own prototype and taken from the other.
     """
+    seen: dict[str, dict[str, int]] = {}
+    for code, text in zip(labelled["code"], labelled["text"]):
+        for s in sentences(text):
+            per = seen.setdefault(_letters(s), {})
+            per[code] = per.get(code, 0) + 1
+    by: dict[str, list[str]] = {}
+    for s, per in sorted(seen.items()):  # a sentence met more than once belongs to its most frequent label
+        by.setdefault(max(sorted(per), key=per.get), []).append(s)
     segs, want, rng = [], [], np.random.default_rng(9)
     for k, code in enumerate(CODES):
-        own = sorted({_letters(s) for t in labelled.loc[labelled["code"] == code, "text"] for s in sentences(t)})
+        own = by.get(code, [])
         if len(own) > per_label:
             own = [own[i] for i in rng.choice(len(own), per_label, replace=False)]
         segs += own
@@ -265,10 +275,8 @@ def languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", la
         return pd.DataFrame({"doc_id": d["doc_id"].to_numpy()[pick], "label": d["label"].to_numpy()[pick], "segment": got["segment"], "lang": np.array(CODES, object)[got["win"]], "sentences": got["sentences"], "letters": got["letters"], "confidence": got["confidence"]})
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), label_code(lang).alias("label"), F.col(text).alias("text"))
+    rows = spread(rows, "doc_id")
     out = rows.mapInPandas(work, "doc_id long, label string, segment long, lang string, sentences long, letters long, confidence double")
     if segments:
         return out
-    # all rows of a document come from one task and one call; the share needs no shuffle beyond the window's
-    from pyspark.sql import Window
-
     return out.withColumn("share", F.col("letters") / F.sum("letters").over(Window.partitionBy("doc_id"))).select("doc_id", "label", "lang", "sentences", "share", "confidence")
