@@ -114,7 +114,7 @@ def pagerank(edges: DataFrame, *, damping: float = 0.85, iterations: int = 100,
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         new = rank.join(flow, "vertex", "left").crossJoin(F.broadcast(lost)).select(  # one row
             "vertex", "n", ((1 - damping) / total + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / total)).alias("rank"), F.col("rank").alias("old"))
-        new = cut(new)
+        new = cut(new) if tolerance or k % 4 == 3 else new
         rank = new.drop("old")
         if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
             break

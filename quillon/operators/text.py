@@ -23,7 +23,9 @@ def tokens(text: Column | str) -> Column:
 def ngrams(text: Column | str, n: int = 2) -> Column:
     """Character n-grams; a value shorter than n stands for itself."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.when(F.length(t) < n, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n))))
+    chars = F.filter(F.split(t, ""), lambda c: c != "")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
+    return F.when(F.length(t) < n, F.array(t)).otherwise(grams)
 
 
 def postings(docs: DataFrame, doc_id: str, fields: list[str]) -> DataFrame:
@@ -39,21 +41,23 @@ def bm25(docs: DataFrame, doc_id: str, fields: list[str], query: str, k: int | N
     """(doc, score, fields), best first: BM25 with k1 = 1.2 and b = 0.75.
 
     A document's length is its tokens over all fields; a term's document frequency counts (document, field)
-    postings; a token that stands twice in the query counts twice. Only postings of query terms are counted and
-    joined, so what is shuffled follows the hits; lengths are summed in the same pass per document.
+    postings; a token that stands twice in the query counts twice. Only postings of query terms leave a document's
+    row, which carries its length along, so what is shuffled follows the hits.
     """
     spark = docs.sparkSession
     terms = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
     words = [r["term"] for r in terms.collect()]  # the query's own tokens
-    size = docs.select(F.col(doc_id).alias("doc"), sum((F.size(tokens(f)) for f in fields), F.lit(0)).alias("len"))
-    stats = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    hit = None
-    for f in fields:
-        p = docs.select(F.col(doc_id).alias("doc"), F.lit(f).alias("field"), F.explode(F.filter(tokens(f), lambda x: x.isin(words))).alias("term"))
-        hit = p if hit is None else hit.union(p)
-    hit = hit.groupBy("term", "doc", "field").agg(F.count(F.lit(1)).alias("tf"))
+
+    def hits(f: str) -> Column:
+        return F.transform(F.filter(tokens(f), lambda x: x.isin(words)), lambda x: F.struct(F.lit(f).alias("field"), x.alias("term")))
+
+    found = F.concat(*map(hits, fields))
+    size = sum((F.size(tokens(f)) for f in fields), F.lit(0))
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avg_len"))
+    hit = docs.select(F.col(doc_id).alias("doc"), size.alias("len"), F.explode(found).alias("h"))
+    hit = hit.groupBy("h.term", "doc", "h.field", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    x = hit.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(size, "doc").crossJoin(F.broadcast(stats))  # one row per query term, and one
+    x = hit.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))  # one row per query term, and one
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))) * F.col("times")
     out = x.groupBy("doc").agg(F.sum(part).alias("score"), F.sort_array(F.collect_set("field")).alias("fields")).orderBy(F.desc("score"), "doc")

@@ -50,7 +50,7 @@ def packed_bits(v: Column | str) -> Column:
     v = F.transform(v, lambda x: F.when(x != 0, "1").otherwise("0"))
     bits = F.array_join(v, "")
     padded = F.rpad(bits, F.ceil(F.length(bits) / 8).cast("int") * 8, F.lit("0"))
-    bytes_ = F.transform(F.sequence(F.lit(0), F.length(padded) / 8 - 1), lambda i: F.lpad(F.conv(F.substring(padded, (i * 8 + 1).cast("int"), F.lit(8)), 2, 16), 2, F.lit("0")))
+    bytes_ = F.transform(F.sequence(F.lit(0), (F.length(padded) / 8).cast("int") - 1), lambda i: F.lpad(F.conv(F.substring(padded, (i * 8 + 1).cast("int"), F.lit(8)), 2, 16), 2, F.lit("0")))
     return F.lower(F.array_join(bytes_, ""))
 
 

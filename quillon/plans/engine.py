@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +15,22 @@ from quillon.runtime import load
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
 
+class Frames(dict):
+    """Classes by name; one given as a function is read when it is first needed."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        df = super().__getitem__(name)
+        if not isinstance(df, DataFrame):
+            self[name] = df = df()
+        return df
+
+    def get(self, name: str, default=None):
+        return self[name] if name in self else default
+
+    def items(self):
+        return [(k, self[k]) for k in self]
+
+
 class Engine:
     """Class registry and query entry. Registered classes are lazy DataFrames; nothing is copied.
 
@@ -21,14 +40,14 @@ class Engine:
 
     def __init__(self, spark: SparkSession, ontology: Ontology | None = None):
         self.spark, self.ontology = spark, ontology or Ontology()
-        self.classes: dict[str, DataFrame] = {}
+        self.classes = Frames()
         self.indexes: dict[str, dict] = {}
         self.namespace = ""
 
     def qualified(self, name: str) -> str:
         return name if not self.namespace or "." in name else f"{self.namespace}.{name}"
 
-    def register(self, name: str, df: DataFrame) -> Engine:
+    def register(self, name: str, df: DataFrame | Callable[[], DataFrame]) -> Engine:
         self.classes[self.qualified(name)] = df
         self.ontology.add_class(self.qualified(name))
         return self
@@ -52,6 +71,8 @@ class Engine:
 
     def plain_sql(self, text: str, args: dict | list | None = None) -> DataFrame:
         for name in self.classes:
+            if not re.search(rf"(?<![\w.]){re.escape(name)}(?!\w)", text):
+                continue
             self.table(name).createOrReplaceTempView(name.replace(".", "__"))
             text = text.replace(name, name.replace(".", "__")) if "." in name else text
         return self.spark.sql(text, args=args) if args else self.spark.sql(text)
@@ -62,5 +83,5 @@ def open_dir(spark: SparkSession, d: str) -> Engine:
     e = Engine(spark)
     for t in TABLES:
         if Path(f"{d}/{t}.parquet").exists():
-            e.register(t, load(spark, d, t))
+            e.register(t, partial(load, spark, d, t))
     return e

@@ -65,6 +65,44 @@ WITH s AS (SELECT series_key, max(step_s) AS step FROM ts_block WHERE step_s > 0
 occ AS (SELECT DISTINCT p.series_key, step, epoch_us(ts) // 1000000 // step AS slot FROM ts_point p JOIN s USING (series_key) WHERE value IS NOT NULL AND NOT isnan(value)),
 r AS (SELECT series_key, step, unnest(generate_series(min(slot), max(slot))) AS slot FROM occ GROUP BY 1, 2)
 SELECT series_key, slot * step AS slot_start_s FROM r ANTI JOIN occ USING (series_key, slot)""",
+    "p3_grid": """
+WITH s AS (SELECT series_key, max(step_s) AS step FROM ts_block WHERE step_s > 0 GROUP BY 1),
+p AS (SELECT DISTINCT p.series_key, step, point_id, epoch_us(ts) AS us, value AS v, epoch_us(ts) // 1000000 // step AS slot FROM ts_point p JOIN s USING (series_key) WHERE value IS NOT NULL AND NOT isnan(value)),
+occ AS (SELECT series_key, step, slot, min(us) AS f_us, arg_min(v, (us, point_id)) AS f_v, max(us) AS l_us, arg_max(v, (us, point_id)) AS l_v FROM p GROUP BY 1, 2, 3),
+r AS (SELECT series_key, step, unnest(generate_series(min(slot), max(slot))) AS slot FROM occ GROUP BY 1, 2),
+x AS (SELECT r.series_key, r.slot, r.slot * r.step * 1000000 AS t, r.step, o.f_us IS NOT NULL AS seen, o.f_us, o.f_v, a.l_us AS p_us, a.l_v AS p_v, b.f_us AS n_us, b.f_v AS n_v
+ FROM r LEFT JOIN occ o ON o.series_key = r.series_key AND o.slot = r.slot
+ ASOF LEFT JOIN occ a ON a.series_key = r.series_key AND a.slot < r.slot
+ ASOF LEFT JOIN occ b ON b.series_key = r.series_key AND b.slot >= r.slot),
+y AS (SELECT *, n_us - p_us <= 10 * step * 1000000 AS near, p_v + (n_v - p_v) * ((t - p_us) / nullif(n_us - p_us, 0)) AS line FROM x)
+SELECT series_key, slot * step AS slot_start_s, CASE WHEN seen THEN 'observed' WHEN near THEN 'interpolated' ELSE 'gap' END AS status,
+ round(CASE WHEN seen AND (p_us IS NULL OR NOT near OR n_us = t) THEN n_v WHEN near THEN line END, 6) AS value, p_us AS prev_us, n_us AS next_us FROM y""",
+    "p4_paths": """
+WITH RECURSIVE nodes AS (SELECT DISTINCT lower(trim(class_name)) AS n FROM class_info WHERE trim(class_name) != ''),
+links AS (SELECT DISTINCT lower(trim(class_name)) AS n, lower(trim(p)) AS p FROM (SELECT class_name, unnest(superclasses) AS p FROM class_info) WHERE lower(trim(p)) IN (SELECT n FROM nodes)),
+up(n, a) AS (SELECT n, p FROM links UNION SELECT up.n, links.p FROM up JOIN links ON up.a = links.n),
+bad AS (SELECT n FROM up WHERE n = a UNION SELECT n FROM up WHERE a IN (SELECT n FROM up WHERE n = a)),
+w(n, path) AS (SELECT n, [n] FROM nodes WHERE n NOT IN (SELECT n FROM links) UNION ALL SELECT links.n, list_append(path, links.n) FROM w JOIN links ON links.p = w.n WHERE links.n NOT IN (SELECT n FROM bad))
+SELECT n AS class_name, path[1] AS top_name, path, (len(path) - 1)::BIGINT AS levels FROM w""",
+    "p4_hierarchy": """
+WITH RECURSIVE nodes AS (SELECT DISTINCT lower(trim(class_name)) AS n FROM class_info WHERE trim(class_name) != ''),
+links AS (SELECT DISTINCT lower(trim(class_name)) AS n, lower(trim(p)) AS p FROM (SELECT class_name, unnest(superclasses) AS p FROM class_info) WHERE lower(trim(p)) IN (SELECT n FROM nodes)),
+up(n, a) AS (SELECT n, p FROM links UNION SELECT up.n, links.p FROM up JOIN links ON up.a = links.n),
+loop AS (SELECT x.n, min(y.n) AS loop FROM up x JOIN up y ON x.a = y.n AND x.n = y.a GROUP BY 1),
+c AS (SELECT nodes.n, loop, coalesce(loop, nodes.n) AS m FROM nodes LEFT JOIN loop ON loop.n = nodes.n),
+e AS (SELECT DISTINCT a.m AS n, b.m AS p FROM links JOIN c a ON a.n = links.n JOIN c b ON b.n = links.p WHERE a.m != b.m),
+t(n, a, k) AS (SELECT n, p, 1 FROM e UNION SELECT t.n, e.p, k + 1 FROM t JOIN e ON e.n = t.a),
+s AS (SELECT n, a, min(k) AS k FROM t GROUP BY 1, 2), root AS (SELECT n FROM nodes WHERE n NOT IN (SELECT n FROM links)),
+d AS (SELECT n, min(k)::BIGINT AS depth FROM s WHERE a IN (SELECT n FROM root) GROUP BY 1 UNION ALL SELECT n, 0 FROM root)
+SELECT c.n AS class_name, depth, (SELECT count(*) FROM s WHERE s.n = c.m) AS ancestors, (SELECT count(*) FROM s WHERE s.a = c.m) AS descendants, loop FROM c LEFT JOIN d ON d.n = c.m""",
+    "p7_found": """
+WITH p AS (SELECT DISTINCT point_id, entity_id, lon, lat FROM st_point WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AND NOT (lon = 0 AND lat = 0)),
+q AS (SELECT *, floor(lat * 1000)::BIGINT AS band FROM p), b AS (SELECT q.*, band + k AS cell FROM q, (SELECT unnest([-1, 0, 1]) AS k)),
+x AS (SELECT q.point_id AS i, b.point_id AS j FROM q JOIN b ON b.cell = q.band AND q.point_id < b.point_id AND q.entity_id != b.entity_id
+ WHERE 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.lat - q.lat) / 2), 2) + cos(radians(q.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - q.lon) / 2), 2)))) <= 40),
+n AS (SELECT DISTINCT node_id, center_lat, center_lng, radius_m FROM region_node WHERE center_lat IS NOT NULL AND center_lng IS NOT NULL AND radius_m IS NOT NULL)
+SELECT i AS point_id, 'point' AS other_kind, j::VARCHAR AS other_id FROM x
+UNION ALL SELECT point_id, 'region', node_id FROM p, n WHERE 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(center_lat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(center_lat)) * pow(sin(radians(center_lng - lon) / 2), 2)))) <= radius_m""",
     "p4_found": """
 WITH RECURSIVE nodes AS (SELECT DISTINCT lower(trim(class_name)) AS n FROM class_info WHERE trim(class_name) != ''),
 links AS (SELECT DISTINCT lower(trim(class_name)) AS n, lower(trim(p)) AS p FROM (SELECT class_name, unnest(superclasses) AS p FROM class_info) WHERE lower(trim(p)) IN (SELECT n FROM nodes)),
