@@ -36,8 +36,8 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_inner": "SELECT n_name, r_name FROM nation INNER JOIN region ON n_regionkey = r_regionkey",
     "join_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'",
     "join_right": "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000",
-    "join_full": "SELECT a.c_custkey AS left_key, b.s_suppkey AS right_key FROM (SELECT * FROM customer WHERE c_custkey < 60) a FULL OUTER JOIN supplier b ON a.c_custkey = b.s_suppkey",
-    "join_cross": "SELECT r_name, s_suppkey FROM region, supplier WHERE s_suppkey <= 20",
+    "join_full": "SELECT a.c_custkey AS left_key, b.s_suppkey AS right_key FROM (SELECT * FROM customer WHERE c_acctbal > 0) a FULL OUTER JOIN supplier b ON a.c_custkey = b.s_suppkey",
+    "join_cross": "SELECT r_name, s_suppkey FROM region, supplier",
     "join_implicit": "SELECT c_name, o_orderkey FROM customer, orders WHERE c_custkey = o_custkey AND o_totalprice > 180000",
     "join_multiway": (
         "SELECT n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(20, 4))) AS DOUBLE) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
