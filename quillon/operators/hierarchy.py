@@ -149,3 +149,32 @@ def full_paths(rows: DataFrame, *, name: str = "class_name", parents: str = "sup
         jump = cut(jump.alias("x").join(jump.alias("y"), F.col("x.p") == F.col("y.n")).select("x.n", "y.p", F.concat("y.way", "x.way").alias("way")))
         if jump.isEmpty():
             return done.select(F.col("n").alias("class_name"), F.col("path")[0].alias("top_name"), "path", (F.size("path") - 1).cast("long").alias("levels"))
+
+
+def all_paths(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses") -> DataFrame:
+    """(class_name, top_name, path, levels, loop): every way up from every class that meets no class twice, top first.
+
+    A way ends at a root (top_name; loop is null), or where a parent already lies on it: then it ends in a loop,
+    which loop and top_name name by its smallest member. So every class has a row, and the top_names of a class
+    are those of tops(). Ways through a loop to a root above it are kept. Joins double in length as in
+    full_paths; tightly knit loops have as many ways as there are orders to walk them.
+    """
+    nodes, links = (cut(x) for x in class_links(rows, name=name, parents=parents))
+    _, loops = find_loops(links)
+    roots = nodes.join(links, "n", "left_anti")
+    own = loops.select("n", "loop")
+    back = links.join(own, "n").join(own.select(F.col("n").alias("p"), F.col("loop").alias("l2")), "p").where("loop = l2")  # links inside a loop
+    done = roots.select("n", F.array("n").alias("path"), F.lit(None).cast("string").alias("again"), F.lit(None).cast("string").alias("loop"))
+    done = done.union(back.select("n", F.array("n").alias("path"), F.col("p").alias("again"), "loop"))  # again: must lie further down
+    jump = links.where("n != p").select("n", "p", F.array("n").alias("way"))
+    while True:
+        more = jump.join(done.withColumnRenamed("n", "p"), "p").where(~F.arrays_overlap("path", "way")).select("n", F.concat("path", "way"), "again", "loop")
+        done = cut(done.union(more))
+        # the lower way's upper end, y.n = x.p, is the last name of y.way; x.way and y.way and y.p must share none
+        pair = jump.alias("x").join(jump.alias("y"), F.col("x.p") == F.col("y.n")).where(~F.arrays_overlap("x.way", "y.way") & ~F.array_contains("x.way", F.col("y.p")))
+        jump = cut(pair.select("x.n", "y.p", F.concat("y.way", "x.way").alias("way")))
+        if jump.isEmpty():
+            break
+    free, caught = done.where("again is null").drop("again"), done.where("array_contains(path, again)").drop("again")
+    done = free.union(caught.distinct())  # several parents of the last class may lie on the way
+    return done.select(F.col("n").alias("class_name"), F.coalesce("loop", F.col("path")[0]).alias("top_name"), "path", (F.size("path") - 1).cast("long").alias("levels"), "loop")

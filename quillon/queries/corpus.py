@@ -30,6 +30,10 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.full_paths(load(spark, d, "class_info"))
 
 
+def p4_all_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.all_paths(load(spark, d, "class_info"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     # TESTDATA.md fixes usual behaviour: a level (the sensor's median) without trend or season, and 20 MADs as the limit
     r = spikes.flag_readings(load(spark, d, "report_request"), load(spark, d, "sensor_limit"), trend_s=None, period_s=None, max_mads=20.0)
@@ -55,7 +59,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.union(near.containing_regions(points, nodes).select("id", F.lit("region"), "region"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_hierarchy, p4_paths, p5_found, p5_seasonal, p6_found, p6_partners, p7_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_hierarchy, p4_paths, p4_all_paths, p5_found, p5_seasonal, p6_found, p6_partners, p7_found)}
 
 _TIDY = "nullif(lower(trim({})), '')"
 

@@ -1,6 +1,6 @@
 import random
 
-from quillon.operators.hierarchy import full_paths, hierarchy, tops
+from quillon.operators.hierarchy import all_paths, full_paths, hierarchy, tops
 
 S = "class_name string, superclasses array<string>, n string, top string"
 
@@ -53,3 +53,31 @@ def test_chain_and_paths(spark):
 def test_empty(spark):
     assert tops(frame(spark, [])).count() == hierarchy(frame(spark, [])).count() == full_paths(frame(spark, [])).count() == 0
     assert [tuple(r) for r in tops(frame(spark, [("a", None)])).collect()] == [("a", "a")]
+
+
+def test_all_paths_below_and_through_loops(spark):
+    rows = [("r", None), ("k", ["r"]), ("a", ["b"]), ("b", ["c", "k"]), ("c", ["a"]), ("self", ["self"]), ("d", ["k", "a"]), ("e", ["d", "self"]), ("x", ["y", "z"]), ("y", ["x"]), ("z", ["y"])]
+    up = {n: list(dict.fromkeys(ps or [])) for n, ps in rows}
+    name = {"a": "a", "b": "a", "c": "a", "self": "self", "x": "x", "y": "x", "z": "x"}
+
+    def walks(way):  # bottom first
+        if not up[way[-1]]:
+            yield tuple(way[::-1]), None
+        for p in up[way[-1]]:
+            if p in way:
+                yield tuple(way[::-1]), name[p]
+            else:
+                yield from walks([*way, p])
+
+    want = {(n, path, loop) for n in up for path, loop in walks([n])}
+    got = [(x.class_name, tuple(x.path), x.loop) for x in all_paths(frame(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ("d", ("r", "k", "d"), None) in want and ("d", ("r", "k", "b", "a", "d"), None) in want and ("d", ("b", "c", "a", "d"), "a") not in want
+
+
+def test_all_paths_end_in_all_tops(spark):
+    r = random.Random(8)
+    names = [f"c{i}" for i in range(40)]
+    rows = [(n, [r.choice(names[max(0, i - 9) : i + 3]) for _ in range(r.randrange(3))]) for i, n in enumerate(names)]
+    assert {(x.class_name, x.top_name) for x in all_paths(frame(spark, rows)).collect()} == brute(rows)
+    assert all_paths(frame(spark, [])).count() == 0
