@@ -112,22 +112,32 @@ def _pairs(free: DataFrame) -> DataFrame:
         found, far = cut(found.union(step).groupBy("n", "anc").agg(F.min("levels").alias("levels"))), 2 * far
 
 
-def hierarchy(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses") -> DataFrame:
+def descendants(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses") -> DataFrame:
+    """(class_name, descendant, levels): all descendants of each class with the fewest levels between.
+
+    Members of a loop are descendants of each other and each of every class above; no class is its own.
+    """
+    _, links = class_links(rows, name=name, parents=parents)
+    return _pairs(cut(links)).where("n != anc").select(F.col("anc").alias("class_name"), F.col("n").alias("descendant"), "levels")
+
+
+def hierarchy(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses", members: bool = False) -> DataFrame:
     """One row per class: depth, number of ancestors and descendants, its loop.
 
-    A loop counts as one node whose members share their figures. depth is the fewest levels to a root above (0
+    A loop counts as one node whose members share their figures; with `members`, all figures are those of
+    descendants(), where each member counts. depth is the fewest levels to a root above (0
     for a root; null where no root is above). Columns: class_name, depth, ancestors, descendants, loop (null
     outside loops).
     """
     nodes, links = (cut(x) for x in class_links(rows, name=name, parents=parents))
     _, loops = find_loops(links)
-    pairs = ancestor_pairs(links, loops)
+    pairs = _pairs(links).where("n != anc") if members else ancestor_pairs(links, loops)
     roots = nodes.join(links, "n", "left_anti")
     depth = pairs.join(roots.select(F.col("n").alias("anc")), "anc", "left_semi").groupBy("n").agg(F.min("levels").alias("depth"))
     depth = depth.union(roots.select("n", F.lit(0).cast("long")))
     up = pairs.groupBy("n").agg(F.count(F.lit(1)).alias("ancestors"))
     down = pairs.groupBy(F.col("anc").alias("n")).agg(F.count(F.lit(1)).alias("descendants"))
-    base = nodes.join(loops, "n", "left").select(F.col("n").alias("class_name"), F.coalesce("loop", "n").alias("n"), "loop")
+    base = nodes.join(loops, "n", "left").select(F.col("n").alias("class_name"), (F.col("n") if members else F.coalesce("loop", "n")).alias("n"), "loop")
     all_ = reduce(lambda x, y: x.join(y, "n", "left"), (depth, up, down), base)
     return all_.select("class_name", "depth", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("descendants", F.lit(0)).alias("descendants"), "loop")
 

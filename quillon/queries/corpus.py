@@ -26,6 +26,14 @@ def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.hierarchy(load(spark, d, "class_info"))
 
 
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(load(spark, d, "class_info"))
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(load(spark, d, "class_info"), members=True)
+
+
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.full_paths(load(spark, d, "class_info"))
 
@@ -59,7 +67,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.union(near.containing_regions(points, nodes).select("id", F.lit("region"), "region"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_hierarchy, p4_paths, p4_all_paths, p5_found, p5_seasonal, p6_found, p6_partners, p7_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p4_found, p4_hierarchy, p4_descendants, p4_counts, p4_paths, p4_all_paths, p5_found, p5_seasonal, p6_found, p6_partners, p7_found)}
 
 _TIDY = "nullif(lower(trim({})), '')"
 

@@ -1,6 +1,6 @@
 import random
 
-from quillon.operators.hierarchy import all_paths, full_paths, hierarchy, tops
+from quillon.operators.hierarchy import all_paths, descendants, full_paths, hierarchy, tops
 
 S = "class_name string, superclasses array<string>, n string, top string"
 
@@ -81,3 +81,23 @@ def test_all_paths_end_in_all_tops(spark):
     rows = [(n, [r.choice(names[max(0, i - 9) : i + 3]) for _ in range(r.randrange(3))]) for i, n in enumerate(names)]
     assert {(x.class_name, x.top_name) for x in all_paths(frame(spark, rows)).collect()} == brute(rows)
     assert all_paths(frame(spark, [])).count() == 0
+
+
+def test_descendants_count_every_member_of_a_loop(spark):
+    ring = [(f"m{i}", [f"m{(i + 1) % 10}"]) for i in range(10)]
+    rows = [("root", None), *ring, ("m0", ["root"]), ("low", ["m4", "low"])]
+    up = {}
+    for n, ps in rows:
+        up.setdefault(n, set()).update(ps or [])
+    want = {}
+    for n in up:
+        level, k = {n}, 0
+        while level:
+            k, level = k + 1, {p for x in level for p in up[x]} - {n} - {a for a, b in want if b == n}
+            want |= {(a, n): k for a in level}
+    got = descendants(frame(spark, rows)).collect()
+    assert len(got) == len(want) and {(x.class_name, x.descendant): x.levels for x in got} == want
+    h = {x.class_name: x for x in hierarchy(frame(spark, rows), members=True).collect()}
+    assert {n: (x.descendants, x.ancestors) for n, x in h.items()} == {n: (sum(a == n for a, _ in want), sum(b == n for _, b in want)) for n in up}
+    assert (h["root"].descendants, h["m3"].descendants, h["m1"].depth, h["m3"].loop, h["low"].loop) == (11, 10, 10, "m0", "low")
+    assert descendants(frame(spark, [])).count() == 0
