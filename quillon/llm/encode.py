@@ -66,19 +66,22 @@ def _count(tok: Tokenizer):
 def edge_boundaries(text: str, start: int, first: bool, chunk: int, overlap: int) -> tuple[list[int], list[int]]:
     """Where pre-tokens begin in the first and in the last `overlap` characters of a chunk, as places in the document.
 
-    The chunk's last two pre-tokens are left out, as the text that follows could still change them.
+    The chunk's last two pre-tokens are left out, as the text that follows could still change them. In the last
+    characters places after white space are left out too: where a piece ends in a run of blanks, the pattern takes
+    the run as a whole, but leaves its last blank apart where text follows.
     """
     import regex
 
     begins = [m.start() for m in regex.compile(PATTERN).finditer(text)]
     left = [] if first else [start + b for b in begins if b <= overlap]
-    return left, [start + b for b in begins[:-2] if b >= chunk]
+    return left, [start + b for b in begins[:-2] if b >= chunk and not text[b - 1].isspace()]
 
 
 def stitch(edges: list[tuple[list[int], list[int]]]) -> list[int]:
     """Cuts between neighbouring chunks: the first boundary on which the pre-tokens of both agree.
 
-    From such a place on, both chunks split the text alike, as the pattern only looks ahead. Once two neighbours
+    From such a place on, both chunks split the text alike, as the pattern only looks ahead; and the piece before
+    it is split as in the whole text, as no blank is its last character (see edge_boundaries). Once two neighbours
     don't agree anywhere in their overlap, nothing later is known to be split rightly, and the rest of the
     document stays one piece.
     """

@@ -37,6 +37,13 @@ def test_long_texts_are_really_cut(spark):
     assert n[5] > 20 and n[6] == 1 and n[4] == 1 and n[0] == 1
 
 
+def test_blank_lines_before_a_chunk(spark, enc):
+    cases = ["ab cd " * 3 + blanks + "foo bar baz " * 5 for blanks in ("\n\n", "\n\t", " \u3000")]  # the second chunk starts at foo
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in enumerate(cases)], S)
+    assert {r.doc_id: r.ids for r in token_ids(df, chunk=20, overlap=16).collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(cases)}
+    assert text_pieces(df, chunk=20, overlap=16).groupBy("doc").count().where("count < 2").isEmpty()
+
+
 def test_stitch_stops_without_agreement():
     assert stitch([([], [10, 12]), ([12, 15], [30]), ([31], [40]), ([40], [])]) == [12]
 
