@@ -60,24 +60,29 @@ class Segmented:
         return Window.partitionBy(*self.keys, "__seg").orderBy(*(order or (self.order,)))
 
     def add_before(self, df: DataFrame, amount: Column | str, name: str) -> DataFrame:
-        """Add `name`: the sum of `amount` over all earlier segments of the row's group (0 in whole groups)."""
-        if self.hot is None:
-            return df.withColumn(name, F.lit(0).cast("long"))
+        """Add `name`: the sum of `amount` over all earlier segments of the row's group (0 in whole groups).
+
+        A long for whole numbers, else a double.
+        """
         amount = F.col(amount) if isinstance(amount, str) else amount
+        whole = isinstance(df.select(amount).schema[0].dataType, T.IntegralType)
+        kind, of = (T.LongType(), int) if whole else (T.DoubleType(), float)
+        if self.hot is None:
+            return df.withColumn(name, F.lit(0).cast(kind))
         own = df.alias("d").join(F.broadcast(self.hot.alias("h")), self._same("h")("d"), "left_semi")
         sums = own.groupBy(*self.keys, "__seg").agg(F.sum(amount).alias("__s")).collect()  # at most MAX_HOT * SEGMENTS rows
-        rows, schema = [], T.StructType([df.schema[k] for k in self.keys] + [T.StructField("__seg", T.IntegerType()), T.StructField("__b", T.DoubleType())])
+        rows, schema = [], T.StructType([df.schema[k] for k in self.keys] + [T.StructField("__seg", T.IntegerType()), T.StructField("__b", kind)])
         by: dict[tuple, list] = {}
         for r in sums:
-            by.setdefault(tuple(r[k] for k in self.keys), []).append((r["__seg"], float(r["__s"] or 0)))
+            by.setdefault(tuple(r[k] for k in self.keys), []).append((r["__seg"], of(r["__s"] or 0)))
         for key, parts in by.items():
-            total = 0.0
+            total = of(0)
             for seg, s in sorted(parts):
                 rows.append((*key, seg, total))
                 total += s
         before = df.sparkSession.createDataFrame(rows, schema)
         on = self._same("b")("d") & (F.col("d.__seg") == F.col("b.__seg"))
-        return df.alias("d").join(F.broadcast(before.alias("b")), on, "left").select("d.*", F.coalesce("b.__b", F.lit(0.0)).cast("long").alias(name))
+        return df.alias("d").join(F.broadcast(before.alias("b")), on, "left").select("d.*", F.coalesce("b.__b", F.lit(0)).cast(kind).alias(name))
 
     def carry(self, df: DataFrame, value: str, order: tuple, name: str) -> DataFrame:
         """Add `name`: `value` of the last row before the row's segment in its group (null in whole groups and at the start)."""

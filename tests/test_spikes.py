@@ -48,6 +48,17 @@ def test_seasonal(spark, hot):
     assert {100, 333} <= spikes and len(spikes) < 8
 
 
+def test_segments_keep_fractions(spark):
+    r = random.Random(6)
+    a = [20 + r.gauss(0, 0.001) for _ in range(600)]
+    for i in range(0, 600, 15):
+        a[i] += 0.05  # 40 outliers, whose squares add up to 0.1
+    whole, cut = (flags(spark, {"a": a}, hot, trend_s=None, period_s=None) for hot in (10**6, 20))
+    spikes = {k for k, x in whole.items() if x.spike}
+    assert {("a", i) for i in range(0, 600, 15)} <= spikes and len(spikes) < 50
+    assert {k for k, x in cut.items() if x.spike} == spikes
+
+
 def test_empty(spark):
     assert flag_readings(spark.createDataFrame([], R), spark.createDataFrame([], L)).count() == 0
     assert flag_readings(spark.createDataFrame([], R), spark.createDataFrame([], L), trend_s=None, period_s=None, max_mads=20.0).count() == 0
