@@ -10,7 +10,7 @@ from quillon.runtime import load
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = vectors.near_pairs(load(spark, d, "vector_search_spec"), load(spark, d, "vector_index_meta"))
+    pairs = vectors.near_pairs(load(spark, d, "vector_search_spec"), load(spark, d, "vector_index_meta"), reach=1.0)  # exact
     return pairs.select(F.col("a").alias("spec_id_a"), F.col("b").alias("spec_id_b"))
 
 

@@ -77,3 +77,15 @@ def test_empty(spark):
     specs, meta = frame(spark, [])
     assert near_pairs(specs, meta).count() == 0 and most_similar(specs, meta).count() == 0
     assert near_pairs(frame(spark, made(20))[0], spark.createDataFrame([], M)).count() == 0
+
+
+def test_query_loses_no_pair_of_few_dimensions(spark, tmp_path):
+    from quillon.llm.queries import p1_found
+
+    x = np.random.default_rng(9).random((20_000, 2)).astype("float32")
+    rows = [(i, 0, "c", "v", 1.0, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "spec_id long, search_id long, owner_class string, column_name string, weight double, query_vector array<float>").write.parquet(f"{tmp_path}/vector_search_spec.parquet")
+    spark.createDataFrame([("c", "v", 2, "l2", 0.004)], "owner_class string, column_name string, dimension int, metric string, near_distance double").write.parquet(f"{tmp_path}/vector_index_meta.parquet")
+    y = x.astype(float)
+    want = {(i, int(j)) for i in range(len(y)) for j in i + 1 + np.flatnonzero(((y[i + 1 :] - y[i]) ** 2).sum(1) <= 0.004**2)}
+    assert {(r.spec_id_a, r.spec_id_b) for r in p1_found(spark, str(tmp_path)).collect()} == want
