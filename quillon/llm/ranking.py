@@ -9,12 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.ordered import HOT_ROWS, MAX_HOT, Segmented
+from quillon.operators.ordered import HOT_ROWS, Segmented
 from quillon.runtime import cut
 
+HOT_GROUPS = 10_000
+LEAST_LOADING = 0.1
+
 
 def _loadings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First principal component per group, oriented so that more is better in every column.
+    """Loadings of the first principal component per group, oriented to the declared directions.
+
+    The component's sign is the one with which most loading goes the declared way (scores are ranked best to worst
+    before). A column that still loads against it contradicts the others: it counts with the least loading,
+    LEAST_LOADING of the largest, in its declared direction. Where as much goes one way as the other (two columns
+    that disagree) there is no common direction, and all columns count alike.
 
     sums holds the products of all pairs of columns, summed over the group's items, with an item's constant 1
     standing for the column "" (so sums of columns and the number of items are among them).
@@ -32,8 +40,10 @@ def _loadings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             live = sd > 1e-12
             safe = np.where(live, sd, 1)
             corr = np.where(np.outer(live, live), cov / safe[:, None] / safe[None], 0)
-            first = np.abs(np.linalg.eigh(corr)[1][:, -1]) if live.any() else np.ones(len(cols))
-            load = np.where(live, np.maximum(first, 0.1 * first.max()), 0) * np.array([w[c] for c in cols]) / safe
+            first = np.linalg.eigh(corr)[1][:, -1] if live.any() else np.ones(len(cols))
+            way = first[live].sum()
+            first = np.where(live, 1.0, 0.0) if abs(way) < 1e-6 else first * np.sign(way)
+            load = np.where(live, np.maximum(first, LEAST_LOADING * first.max()), 0) * np.array([w[c] for c in cols]) / safe
             rows.append((g, dict(zip(cols, load.tolist()))))
         yield pd.DataFrame(rows, columns=["g", "per"])
 
@@ -54,20 +64,21 @@ def _places(s: DataFrame, limit: int | None) -> DataFrame:
 
 def fuse_rankings(
     results: DataFrame, specs: DataFrame, *, group: str = "search_id", item: str = "doc_key", scores: str = "per_column_scores",
-    column: str = "column_name", weight: str = "weight", hot_rows: int = HOT_ROWS,
+    column: str = "column_name", weight: str = "weight", directions: dict[str, str] | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One ranking per group from a map of scores per item.
 
-    Every score becomes its rank among the group's scores of that column (ties share the mean rank), as a share
-    of 1 for the best; an item without a score there gets 0. From the correlation matrix of these, summed over
-    all rows in parallel, comes the first principal component; its loadings are oriented to the declared
-    direction (more is better), raised to at least a tenth of the largest so that no declared column is lost,
-    and multiplied by the weights. Items are sorted by their projection: an item that is no worse in every column
-    never stands lower, and no column counts more because its numbers are larger.
+    `directions` declares for a column whether "high" (the default) or "low" scores are better. Every score becomes
+    its rank among the group's scores of that column (ties share the mean rank), as a share of 1 for the best; an
+    item without a score there gets 0. From the correlation matrix of these, summed over all rows in parallel,
+    comes the first principal component, whose loadings are oriented to the declared directions (see _loadings),
+    are never below a tenth of the largest, so that no declared column is lost, and are multiplied by the
+    weights. Items are sorted by their projection: an item that is no worse in every column never stands lower,
+    and no column counts more because its numbers are larger.
 
     Only columns with a weight above zero for the group count (of several the largest; null and NaN don't, nor do null and empty column names).
     Null and NaN scores, columns without weight, null groups and items are left out; of several scores of an
-    item in a column the highest counts, so repeated rows change nothing. An item without any counting score
+    item in a column the best counts, so repeated rows change nothing. An item without any counting score
     isn't ranked. Groups of more than `hot_rows` rows are ranked in segments. Empty tables give no rows; other
     columns are ignored. Columns: group, item, position (ties share the first place), projection, columns (how
     many count in the group), present (how many the item has), worst_rank (its lowest place in any of them).
@@ -77,18 +88,23 @@ def fuse_rankings(
     w = specs.where(good).groupBy(F.col(group).cast(kind).alias("g"), F.col(column).alias("c")).agg(F.max(weight).alias("w"))
     w = w.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("c", "w"))).alias("weights"))  # one entry per declared column
     r = results.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(scores).alias("scores"))
-    large = r.groupBy("g").count().where(F.col("count") > hot_rows).orderBy(F.desc("count"), "g").limit(MAX_HOT)
-    hot = [x["g"] for x in large.collect()]
-    out = [_fused((r.where(~F.col("g").isin(hot)) if hot else r).repartition("g"), w, kind, None)]
-    out += [_fused(r.where(F.col("g").isin(hot)), w, kind, hot_rows)] if hot else []
+    low = sorted(c for c, way in (directions or {}).items() if way == "low")
+    if unknown := {way for way in (directions or {}).values()} - {"high", "low"}:
+        raise ValueError(f"unknown direction {sorted(unknown)[0]}")
+    large = r.groupBy("g").count().where(F.col("count") > hot_rows).orderBy(F.desc("count"), "g").limit(HOT_GROUPS)
+    hot = [(x["g"],) for x in large.collect()]
+    keys = F.broadcast(r.sparkSession.createDataFrame(hot, f"g {kind}"))  # at most HOT_GROUPS keys
+    out = [_fused((r.join(keys, "g", "left_anti") if hot else r).repartition("g"), w, kind, low, None)]
+    out += [_fused(r.join(keys, "g", "left_semi"), w, kind, low, hot_rows)] if hot else []
     ranked = out[0] if len(out) == 1 else out[0].union(out[1])
     return ranked.select(F.col("g").alias(group), F.col("item").alias(item), "position", "projection", "columns", "present", "worst_rank")
 
 
-def _fused(r: DataFrame, w: DataFrame, kind: str, limit: int | None) -> DataFrame:
+def _fused(r: DataFrame, w: DataFrame, kind: str, low: list[str], limit: int | None) -> DataFrame:
     """fuse_rankings over groups of one sort. Without a limit rows are partitioned by group once, and everything else keeps that."""
     s = r.join(w, "g").select("g", "item", F.explode(F.map_filter("scores", lambda k, x: x.isNotNull() & ~F.isnan(x) & F.array_contains(F.map_keys("weights"), k))).alias("c", "x"))
-    s = s.groupBy("g", "item", "c").agg((-F.max("x") + F.lit(0.0)).alias("down"))
+    best = F.when(F.col("c").isin(low), F.min("x")).otherwise(-F.max("x")) if low else -F.max("x")
+    s = s.groupBy("g", "item", "c").agg((best + F.lit(0.0)).alias("down"))
     df = _places(s, limit).select("g", "item", "c", F.col("rank").cast("long").alias("rank"), ((F.col("m") - F.col("rank") - (F.col("ties") - 1) / 2 + 0.5) / F.col("m")).alias("p"))
     items = df.groupBy("g", "item").agg(F.sort_array(F.collect_list(F.struct("c", "p", "rank"))).alias("xs"))  # one entry per counting column
 
@@ -110,7 +126,9 @@ def _fused(r: DataFrame, w: DataFrame, kind: str, limit: int | None) -> DataFram
 def front(ranking: DataFrame, first: int = 5) -> DataFrame:
     """The items of a fused ranking that are among the `first` in every counting column.
 
-    Whatever stands before such an item beats it in some column, where at most first - 1 items do, so it is
-    found among the first (first - 1) * columns + 1 positions; its places are then checked exactly.
+    Whatever stands before such an item beats it in some column, where at most first - 1 items do, so it is among
+    the first (first - 1) * columns + 1 positions of the ranking. Those are the candidates; their places in the
+    columns are then checked exactly, and it is this check that decides.
     """
-    return ranking.where((F.col("position") <= (first - 1) * F.col("columns") + 1) & (F.col("present") == F.col("columns")) & (F.col("worst_rank") <= first))
+    candidates = ranking.where((F.col("position") <= (first - 1) * F.col("columns") + 1) & (F.col("present") == F.col("columns")))
+    return candidates.where(F.col("worst_rank") <= first)

@@ -1,6 +1,8 @@
 import random
 
-from quillon.llm.ranking import front, fuse_rankings
+import pytest
+
+from quillon.llm.ranking import _loadings, front, fuse_rankings
 
 R = "search_id long, doc_key string, per_column_scores map<string, double>, combined_score double, g int, item string"
 W = "search_id long, column_name string, weight double, c string"
@@ -62,3 +64,36 @@ def test_front_is_complete(spark):
 def test_empty(spark):
     rows, w = made()
     assert ranking(spark, [], w).count() == ranking(spark, rows, []).count() == ranking(spark, [], []).count() == 0
+
+
+def test_declared_direction(spark):
+    r = random.Random(9)
+    rows = [(1, f"d{i}", {"score": (b := r.random()), "distance": 50 - 40 * b + r.gauss(0, 4)}, None, 0, "") for i in range(80)]
+    w = [(1, "score", 0.5, ""), (1, "distance", 0.5, "")]
+    turned = [(s, d, {"score": m["score"], "distance": -m["distance"]}, *x) for s, d, m, *x in rows]
+    get = lambda rows, **kw: {x.doc_key: (x.position, round(x.projection, 9)) for x in ranking(spark, rows, w, **kw).collect()}
+    low = get(rows, directions={"distance": "low"})
+    assert low == get(turned) == get(rows, directions={"distance": "low"}, hot_rows=10)
+    best = max(rows, key=lambda x: x[2]["score"])[1]
+    assert low[best][0] <= 8  # both columns say so; undeclared, the columns contradict each other and the middle wins
+    for _, d, m, *_ in rows:
+        for _, d2, m2, *_ in rows:
+            if m["score"] >= m2["score"] and m["distance"] <= m2["distance"]:
+                assert low[d][0] <= low[d2][0]
+    with pytest.raises(ValueError):
+        get(rows, directions={"distance": "down"})
+
+
+def test_contrary_column_counts_least():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    base = rng.random(500)
+    x = np.column_stack([base + rng.normal(0, 0.1, 500), base + rng.normal(0, 0.1, 500), -base + rng.normal(0, 0.1, 500)])
+    p = (x.argsort(0).argsort(0) + 0.5) / 500
+    one = np.column_stack([np.ones(500), p])
+    names = ["", "a", "b", "c"]
+    sums = [{"a": names[i], "b": names[j], "x": float(one[:, i] @ one[:, j])} for i in range(4) for j in range(i, 4)]
+    per = next(_loadings(iter([pd.DataFrame({"g": [1], "weights": [[("a", 1.0), ("b", 1.0), ("c", 1.0)]], "sums": [sums]})])))["per"][0]
+    assert abs(per["a"] - per["b"]) < 0.05 * per["a"] and 0 < per["c"] < 0.11 * per["a"]
