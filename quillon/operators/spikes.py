@@ -2,141 +2,227 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.operators.ordered import HOT_ROWS, Segmented, exact_medians
 from quillon.runtime import cut, epoch_us
 
-MAD_TO_SD = 1.4826
+HOT_SENSORS = 10_000
 
 
 def sensor_readings(reports: DataFrame) -> DataFrame:
-    """One row per reading of a report, repeated rows once: report_id, pos, sensor_id, sensor_type, unit, v, us.
+    """One row per reading of a report: report_id, pos, sensor_id, sensor_type, unit, v, us; repeated rows are still there.
 
     Null and empty lists, null readings, null sensors and null or NaN values give no row. A null ts takes the report's.
     """
     r = reports.select("report_id", epoch_us("ts").alias("report_us"), F.posexplode("readings").alias("pos", "r"))
     r = r.select("report_id", "pos", "r.sensor_id", "r.sensor_type", "r.unit", F.col("r.value").cast("double").alias("v"), F.coalesce(epoch_us(F.col("r.ts")), "report_us").alias("us"))
-    return r.where("report_id is not null and sensor_id is not null and v is not null and not isnan(v)").distinct()
+    return r.where("report_id is not null and sensor_id is not null and v is not null and not isnan(v)")
 
 
-def _normal_quantile(p: Column) -> Column:
-    """Upper-tail normal quantile (Abramowitz and Stegun 26.2.23, error below 4.5e-4) for p = P(Z > z), 0 < p <= 0.5."""
+def _upper_normal(p: np.ndarray) -> np.ndarray:
+    """z with P(Z > z) = p for 0 < p <= 0.5 (Abramowitz and Stegun 26.2.23, error below 4.5e-4)."""
     # fixed values: coefficients of the published approximation
     c, d = (2.515517, 0.802853, 0.010328), (1.432788, 0.189269, 0.001308)
-    t = F.sqrt(-2 * F.log(p))
+    t = np.sqrt(-2 * np.log(p))
     return t - (c[0] + c[1] * t + c[2] * t * t) / (1 + d[0] * t + d[1] * t * t + d[2] * t * t * t)
 
 
-def gesd_critical(n: Column, i: Column, alpha: float) -> Column:
-    """Critical value of the i-th step of the generalised extreme studentised deviate test over n values."""
-    left = n - i + 1
-    z = _normal_quantile(F.lit(alpha) / (2 * left))
-    nu = F.greatest(left - 2, F.lit(1))
-    t = z + (z**3 + z) / (4 * nu) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * nu * nu)
-    return (left - 1) * t / F.sqrt((nu + t * t) * left)
+def gesd_critical(n: int, steps: np.ndarray, alpha: float) -> np.ndarray:
+    """Critical values of the given steps (from 1) of the generalised extreme studentised deviate test over n values."""
+    left = n - np.asarray(steps, float) + 1
+    z = _upper_normal(alpha / (2 * left))
+    nu = np.maximum(left - 2, 1)
+    t = z + (z**3 + z) / (4 * nu) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * nu**2) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * nu**3)
+    return (left - 1) * t / np.sqrt((nu + t * t) * left)
 
 
-def decompose(r: DataFrame, *, trend_s: int | None, period_s: int | None, phases: int, limit: int = HOT_ROWS) -> DataFrame:
-    """Add `residual` and `ok_n`, `mid`, `mad`: value less robust trend and season, with the residuals' exact median and MAD.
+def gesd(low: np.ndarray, high: np.ndarray, n: int, total: float, square: float, most: int, alpha: float) -> tuple[int, int]:
+    """How many of the lowest and of the highest of n values the generalised ESD test takes away.
 
-    r has sensor_id, v, us and `inside` (only these rows shape the components). Trend: the median of each span of
-    `trend_s` seconds (None: of all readings of the sensor). Season: the median of what the trend leaves in each of
-    `phases` parts of the period (None: no season). Medians are exact and come from value counts, so a sensor with
-    a third of all rows is counted on the map side and its values are ordered in segments.
+    low: the lowest `most` values, ascending; high: the highest, descending; total and square: sums of all values
+    and of their squares. Each step takes away the value furthest from the mean of those left, which is the lowest
+    or the highest left (the highest of equally far ones); the last step over its critical value counts.
     """
-    def less(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
-        counts = df.where("inside").groupBy(*keys, col).agg(F.count(F.lit(1)).alias("w"))
-        med = exact_medians(counts, keys, col, "w", "m", limit).drop("__total")
-        return df.join(med, keys, "left").withColumn("residual", F.col(col) - F.coalesce("m", F.lit(0.0))).drop("m")
-
-    span = F.lit(0).cast("long") if trend_s is None else F.floor(F.col("us") / (trend_s * 1_000_000))
-    if trend_s is None and period_s is None:
-        # Only a level: the residual's median is 0, and its MAD follows from the value counts alone.
-        counts = r.where("inside").groupBy("sensor_id", "v").agg(F.count(F.lit(1)).alias("w"))
-        med = exact_medians(counts, ["sensor_id"], "v", "w", "level", limit).withColumnRenamed("__total", "ok_n")
-        off = counts.join(med, "sensor_id").groupBy("sensor_id", F.abs(F.col("v") - F.col("level")).alias("d")).agg(F.sum("w").alias("w"))
-        shape = med.join(exact_medians(off, ["sensor_id"], "d", "w", "mad", limit).drop("__total"), "sensor_id")
-        out = r.join(shape, "sensor_id", "left")
-        return out.withColumns({"residual": F.col("v") - F.col("level"), "mid": F.lit(0.0)}).drop("level")
-    r = cut(less(r.withColumn("span", span), "v", ["sensor_id", "span"]))
-    if period_s is not None:
-        phase = F.floor(F.pmod(F.col("us"), F.lit(period_s * 1_000_000)) * phases / (period_s * 1_000_000))
-        r = r.withColumnsRenamed({"residual": "rest"}).withColumn("phase", phase)
-        r = cut(less(r, "rest", ["sensor_id", "phase"]).drop("rest", "phase"))
-    counts = r.where("inside").groupBy("sensor_id", "residual").agg(F.count(F.lit(1)).alias("w"))
-    med = exact_medians(counts, ["sensor_id"], "residual", "w", "mid", limit).withColumnRenamed("__total", "ok_n")
-    off = counts.join(med, "sensor_id").groupBy("sensor_id", F.abs(F.col("residual") - F.col("mid")).alias("d")).agg(F.sum("w").alias("w"))
-    return r.join(med.join(exact_medians(off, ["sensor_id"], "d", "w", "mad", limit).drop("__total"), "sensor_id"), "sensor_id", "left").drop("span")
+    most = min(most, n - 3, len(low))
+    if most < 1:
+        return 0, 0
+    limit = gesd_critical(n, np.arange(1, most + 1), alpha).tolist()
+    lo, hi, a, b, best = low.tolist(), high.tolist(), 0, 0, (0, 0)
+    for i in range(most):
+        left = n - i
+        mean = total / left
+        upper = hi[b] - mean >= mean - lo[a]
+        x = hi[b] if upper else lo[a]
+        a, b = (a, b + 1) if upper else (a + 1, b)
+        spread = (square - left * mean * mean) / (left - 1)
+        if spread > 1e-12 * square / left and abs(x - mean) > limit[i] * spread**0.5:
+            best = (a, b)
+        total -= x
+        square -= x * x
+    return best
+
+
+class _Whole:
+    """Sensors that fit into a task: rows are partitioned by sensor once, and every step keeps that."""
+
+    def prepared(self, r: DataFrame) -> DataFrame:
+        return r.repartition("sensor_id").distinct()
+
+    def frozen(self, r: DataFrame, run_length: int) -> DataFrame:
+        w = Window.partitionBy("sensor_id").orderBy("us", "report_id", "pos")
+        r = r.withColumn("new", F.when(F.lag("v").over(w) == F.col("v"), 0).otherwise(1))
+        r = r.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return r.withColumn("frozen", F.count(F.lit(1)).over(Window.partitionBy("sensor_id", "run")) >= run_length).drop("new", "run")
+
+    def median(self, r: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:
+        return r.withColumn(name, F.median(F.when(F.col("inside"), F.col(col))).over(Window.partitionBy(*keys)))
+
+    def beside(self, r: DataFrame, col: str) -> DataFrame:
+        by = Window.partitionBy("sensor_id").orderBy("span")
+        return r.withColumns({"before": F.max(col).over(by.rangeBetween(-1, -1)), "after": F.max(col).over(by.rangeBetween(1, 1))})
+
+    def ranked(self, r: DataFrame) -> DataFrame:
+        w = Window.partitionBy("sensor_id", "inside").orderBy("y", "us", "report_id", "pos")
+        return r.withColumn("place", F.row_number().over(w).cast("long"))
+
+    def totals(self, r: DataFrame) -> DataFrame:
+        w = Window.partitionBy("sensor_id")
+        y = F.when(F.col("inside"), F.col("y"))
+        return r.withColumns({"n": F.count(y).over(w), "total": F.sum(y).over(w), "square": F.sum(y * y).over(w)})
+
+
+class _Cut:
+    """Sensors with more rows than a task should sort: medians from value counts, orders in segments."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def prepared(self, r: DataFrame) -> DataFrame:
+        return cut(r.distinct())
+
+    def frozen(self, r: DataFrame, run_length: int) -> DataFrame:
+        s = Segmented(r, ["sensor_id"], "us", self.limit)
+        w = s.window("us", "report_id", "pos")
+        d = s.carry(s.df, "v", ("us", "report_id", "pos"), "carried")
+        d = d.withColumn("new", F.when(F.coalesce(F.lag("v").over(w), "carried") == F.col("v"), 0).otherwise(1))
+        d = s.add_before(d, "new", "runs_before").withColumn("run", F.col("runs_before") + F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        runs = d.groupBy("sensor_id", "run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= run_length).select("sensor_id", "run", F.lit(True).alias("frozen"))
+        d = d.join(runs, ["sensor_id", "run"], "left").withColumn("frozen", F.coalesce("frozen", F.lit(False)))
+        return cut(d.drop("__seg", "carried", "new", "runs_before", "run"))
+
+    def median(self, r: DataFrame, keys: list[str], col: str, name: str) -> DataFrame:
+        counts = r.where("inside").groupBy(*keys, col).agg(F.count(F.lit(1)).alias("w"))
+        med = exact_medians(counts, keys, col, "w", "__m", self.limit).drop("__total")
+        return cut(r.join(med, keys, "left").withColumnRenamed("__m", name))
+
+    def beside(self, r: DataFrame, col: str) -> DataFrame:
+        per = r.groupBy("sensor_id", "span").agg(F.max(col).alias("m"))
+        for name, step in (("before", 1), ("after", -1)):
+            r = r.join(per.select("sensor_id", (F.col("span") + step).alias("span"), F.col("m").alias(name)), ["sensor_id", "span"], "left")
+        return r
+
+    def ranked(self, r: DataFrame) -> DataFrame:
+        s = Segmented(r, ["sensor_id", "inside"], "y", self.limit)
+        d = s.add_before(s.df, F.lit(1), "earlier")
+        return cut(d.withColumn("place", F.col("earlier") + F.row_number().over(s.window("y", "us", "report_id", "pos"))).drop("earlier", "__seg"))
+
+    def totals(self, r: DataFrame) -> DataFrame:
+        per = r.where("inside").groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"), F.sum(F.col("y") * F.col("y")).alias("square"))
+        return r.join(F.broadcast(per), "sensor_id", "left")  # at most HOT_SENSORS rows
 
 
-def _gesd(r: DataFrame, alpha: float, limit: int) -> DataFrame:
-    """Add `spike` by the generalised ESD test over each sensor's in-range residuals.
+def decompose(r: DataFrame, way: _Whole | _Cut, *, trend_s: int | None, period_s: int | None, phases: int, rounds: int = 2) -> DataFrame:
+    """Add `trend`, `season` and `residual`, the robust parts that a value is the sum of; level: the sensor's median.
 
-    Residuals are removed from the most extreme inwards; the i-th is compared with mean and deviation of those
-    left, which follow from running sums. Only residuals beyond 2 MAD of the median can exceed the limit (the
-    smallest critical value is above 2 and a deviation is no less than its MAD), so only they are ordered.
+    Only rows `inside` shape the parts. Trend: medians of spans of `trend_s` seconds of what the season leaves, joined
+    by lines between the spans' middles where the neighbouring span has readings (None: the level). Season: the
+    median of what the trend leaves in each of `phases` parts of the period (None: 0). Both are found in turn,
+    `rounds` times, so that a season doesn't bend the trend.
     """
-    sums = r.where("inside").groupBy("sensor_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("residual") - F.col("mid")).alias("s1"), F.sum((F.col("residual") - F.col("mid")) ** 2).alias("s2"))
-    r = r.withColumn("y", F.col("residual") - F.col("mid")).withColumn("inward", -F.abs("y"))
-    far = r.where(F.col("inside") & (F.abs("y") > 2 * F.col("mad"))).select("report_id", "pos", "sensor_id", "us", "y", "inward")
-    s = Segmented(far, ["sensor_id"], "inward", limit)
-    df = s.df
-    for amount, name in ((F.lit(1), "b0"), (F.col("y"), "b1"), (F.col("y") ** 2, "b2")):
-        df = s.add_before(df, amount, name)
-    w = s.window("inward", "us", "report_id", "pos").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumns({"i": F.count(F.lit(1)).over(w) + F.col("b0") + 1, "c1": F.coalesce(F.sum("y").over(w), F.lit(0.0)) + F.col("b1"), "c2": F.coalesce(F.sum(F.col("y") ** 2).over(w), F.lit(0.0)) + F.col("b2")})
-    df = df.join(sums, "sensor_id").where("n - i + 1 > 3")
-    left = F.col("n") - F.col("i") + 1
-    mean = (F.col("s1") - F.col("c1")) / left
-    sd = F.sqrt(F.greatest((F.col("s2") - F.col("c2") - left * mean * mean) / (left - 1), F.lit(0.0)))
-    over = F.abs(F.col("y") - mean) > gesd_critical(F.col("n").cast("double"), F.col("i").cast("double"), alpha) * sd
-    last = df.where(over).groupBy("sensor_id").agg(F.max("i").alias("k"))
-    out = df.join(last, "sensor_id").where("i <= k").select("report_id", "pos", "sensor_id", F.lit(True).alias("spike"))
-    return r.drop("y", "inward").join(out, ["report_id", "pos", "sensor_id"], "left").withColumn("spike", F.coalesce("spike", F.lit(False)))
+    r = way.median(r, ["sensor_id"], "v", "level").withColumn("season", F.lit(0.0))
+    if trend_s is not None:
+        width = trend_s * 1_000_000
+        r = r.withColumn("span", F.floor(F.col("us") / width))
+        part = (F.col("us") - F.col("span") * width) / width - 0.5  # from -0.5 to 0.5 round the span's middle
+    if period_s is not None:
+        r = r.withColumn("phase", F.floor(F.pmod(F.col("us"), F.lit(period_s * 1_000_000)) * phases / (period_s * 1_000_000)))
+    r = r.withColumn("trend", F.coalesce("level", "v"))
+    for _ in range(rounds if trend_s is not None and period_s is not None else 1):
+        if trend_s is not None:
+            r = way.median(r.withColumn("rest", F.col("v") - F.col("season")), ["sensor_id", "span"], "rest", "m")
+            r = way.beside(r, "m")
+            other = F.coalesce(F.when(part < 0, F.col("before")).otherwise(F.col("after")), "m")
+            r = r.withColumn("trend", F.coalesce(F.col("m") + (other - F.col("m")) * F.abs(part), "level", "v")).drop("rest", "m", "before", "after")
+        if period_s is not None:
+            r = way.median(r.withColumn("rest", F.col("v") - F.col("trend")), ["sensor_id", "phase"], "rest", "m")
+            r = r.withColumn("season", F.coalesce("m", F.lit(0.0))).drop("rest", "m")
+    return r.withColumn("residual", F.col("v") - F.col("trend") - F.col("season")).drop("span", "phase")
+
+
+def _with_esd(r: DataFrame, way: _Whole | _Cut, alpha: float, max_share: float) -> DataFrame:
+    """Add `spike` by the generalised ESD test over each sensor's in-range residuals, of which up to max_share can be spikes.
+
+    The test only ever looks at the lowest and highest max_share of the residuals; these are ranked in the JVM and
+    go to one task per sensor as two lists of numbers, which gives back how many of each end are spikes.
+    """
+    r = way.median(r, ["sensor_id"], "residual", "mid")
+    r = way.totals(way.ranked(r.withColumn("y", F.col("residual") - F.coalesce("mid", F.lit(0.0)))))
+    most = F.floor(F.col("n") * F.lit(max_share)) + 1
+    ends = r.where(F.col("inside") & ((F.col("place") <= most) | (F.col("place") > F.col("n") - most))).select("sensor_id", "place", "y", "n", "total", "square")
+
+    def test(d: pd.DataFrame) -> pd.DataFrame:
+        n = int(d["n"].iloc[0])
+        k = int(n * max_share) + 1
+        y = d["y"].to_numpy()[np.argsort(d["place"].to_numpy())]
+        a, b = gesd(y[:k], y[::-1][:k], n, float(d["total"].iloc[0]), float(d["square"].iloc[0]), k, alpha)
+        return pd.DataFrame({"sensor_id": [d["sensor_id"].iloc[0]], "lows": [a], "highs": [b]})
+
+    out = ends.groupBy("sensor_id").applyInPandas(test, "sensor_id string, lows long, highs long")
+    hit = F.col("inside") & ((F.col("place") <= F.col("lows")) | (F.col("place") > F.col("n") - F.col("highs")))
+    return r.join(out, "sensor_id", "left").withColumn("spike", F.coalesce(hit, F.lit(False)))
 
 
 def flag_readings(
     reports: DataFrame, limits: DataFrame, *, trend_s: int | None = 86_400, period_s: int | None = 86_400, phases: int = 24,
-    max_mads: float | None = None, alpha: float = 0.001, run_length: int = 6, hot_rows: int = HOT_ROWS,
+    max_mads: float | None = None, alpha: float = 0.001, max_share: float = 0.05, run_length: int = 6, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Every reading with three independent flags and its residual from the sensor's usual behaviour.
 
     out_of_range: below min_value or above max_value for its sensor_type and unit (never without such a limit).
-    spike: the residual of a robust trend and season lies beyond the generalised ESD limit at `alpha` or, with
-    `max_mads`, further than that many MADs from the residuals' median. In-range readings shape both; without
-    in-range readings nothing is a spike.
+    spike: the residual of a robust trend and season (see decompose) lies beyond the generalised ESD limit at
+    `alpha`, where up to `max_share` of a sensor's in-range readings can be spikes. With `max_mads` instead: the
+    departure from the sensor's level (trend - level + season + residual) is more than that many times the median
+    departure of in-range readings; one of the three parts must then exceed a third of that, which screens the readings
+    before the departure is checked. In-range readings alone shape trend, season, level and limits; a sensor
+    without any has no spikes.
     frozen: one of `run_length` or more equal values that follow each other by time (then report and position).
-    A sensor's readings are ordered in segments where it holds more than `hot_rows`, so runs may span segments.
 
-    See sensor_readings for nulls and repeats. Empty tables give no rows; extra columns are ignored. Columns:
-    report_id, pos, sensor_id, sensor_type, unit, v, us, out_of_range, residual, mad, spike, frozen.
+    A sensor of more than `hot_rows` readings is ordered in segments and its medians come from value counts; the
+    flags are the same (runs may span segments). See sensor_readings for nulls; rows repeated verbatim count once.
+    Empty tables give no rows; extra columns are ignored. Columns: report_id, pos, sensor_id, sensor_type, unit, v,
+    us, out_of_range, residual, mad (with max_mads, else null), spike, frozen.
     """
     lim = limits.groupBy(F.col("sensor_type").alias("lt"), F.col("unit").alias("lu")).agg(F.min("min_value").alias("lo"), F.max("max_value").alias("hi"))
     r = sensor_readings(reports)
-    r = r.join(lim, (F.col("sensor_type") == F.col("lt")) & (F.col("unit") == F.col("lu")), "left")
-    r = r.withColumn("out_of_range", F.coalesce((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), F.lit(False))).withColumn("inside", ~F.col("out_of_range")).drop("lt", "lu", "lo", "hi")
-    r = cut(r)  # read several times below
-
-    s = Segmented(r, ["sensor_id"], "us", hot_rows)
-    w = s.window("us", "report_id", "pos")
-    d = s.carry(s.df, "v", ("us", "report_id", "pos"), "carried")
-    d = d.withColumn("prev", F.coalesce(F.lag("v").over(w), "carried"))
-    d = d.withColumn("new", F.when(F.col("prev") == F.col("v"), 0).otherwise(1))
-    d = s.add_before(d, "new", "runs_before")
-    d = d.withColumn("run", F.col("runs_before") + F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    if s.hot is None:
-        long = F.count(F.lit(1)).over(Window.partitionBy("sensor_id", "__seg", "run"))
-        d = d.withColumn("frozen", long >= run_length)
-    else:
-        runs = d.groupBy("sensor_id", "run").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= run_length).select("sensor_id", "run", F.lit(True).alias("frozen"))
-        d = d.join(runs, ["sensor_id", "run"], "left").withColumn("frozen", F.coalesce("frozen", F.lit(False)))
-    d = d.drop("__seg", "carried", "prev", "new", "runs_before", "run")
-
-    d = decompose(d, trend_s=trend_s, period_s=period_s, phases=phases, limit=hot_rows)
-    if max_mads is not None:
-        d = d.withColumn("spike", F.coalesce(F.abs(F.col("residual") - F.col("mid")) > max_mads * F.col("mad"), F.lit(False)))
-    else:
-        d = _gesd(cut(d), alpha, hot_rows)
-    return d.select("report_id", "pos", "sensor_id", "sensor_type", "unit", "v", "us", "out_of_range", "residual", "mad", "spike", "frozen")
+    large = r.groupBy("sensor_id").count().where(F.col("count") > hot_rows).orderBy(F.desc("count"), "sensor_id").limit(HOT_SENSORS)
+    hot = [(x["sensor_id"],) for x in large.collect()]
+    keys = F.broadcast(r.sparkSession.createDataFrame(hot, "sensor_id string"))  # at most HOT_SENSORS keys
+    sides = [(r.join(keys, "sensor_id", "left_anti") if hot else r, _Whole())] + ([(r.join(keys, "sensor_id", "left_semi"), _Cut(hot_rows))] if hot else [])
+    out = None
+    for side, way in sides:
+        d = way.prepared(side).join(lim, (F.col("sensor_type") == F.col("lt")) & (F.col("unit") == F.col("lu")), "left")
+        d = d.withColumn("out_of_range", F.coalesce((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")), F.lit(False))).withColumn("inside", ~F.col("out_of_range")).drop("lt", "lu", "lo", "hi")
+        d = decompose(way.frozen(d, run_length), way, trend_s=trend_s, period_s=period_s, phases=phases)
+        if max_mads is not None:
+            d = way.median(d.withColumn("off", F.abs(F.col("v") - F.col("level"))), ["sensor_id"], "off", "mad")
+            screened = F.greatest(F.abs(F.col("trend") - F.col("level")), F.abs("season"), F.abs("residual")) * 3.001 >= max_mads * F.col("mad")
+            d = d.withColumn("spike", F.coalesce(screened & (F.col("off") > max_mads * F.col("mad")), F.lit(False)))
+        else:
+            d = _with_esd(d, way, alpha, max_share).withColumn("mad", F.lit(None).cast("double"))
+        d = d.select("report_id", "pos", "sensor_id", "sensor_type", "unit", "v", "us", "out_of_range", "residual", "mad", "spike", "frozen")
+        out = d if out is None else out.union(d)
+    return out

@@ -2,9 +2,10 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 
-from quillon.operators.spikes import flag_readings
+from quillon.operators.spikes import flag_readings, gesd_critical
 
 R = "report_id long, ts timestamp_ntz, readings array<struct<sensor_id: string, sensor_type: string, value: double, unit: string, ts: timestamp_ntz>>, v double, us long"
 L = "sensor_type string, unit string, min_value double, max_value double"
@@ -48,15 +49,48 @@ def test_seasonal(spark, hot):
     assert {100, 333} <= spikes and len(spikes) < 8
 
 
-def test_segments_keep_fractions(spark):
+def plain_esd(y, most, alpha):
+    """Indexes that the test takes away, by its definition."""
+    left, gone, best = list(range(len(y))), [], 0
+    for i, limit in enumerate(gesd_critical(len(y), np.arange(1, most + 1), alpha)):
+        v = y[left]
+        d = np.abs(v - v.mean())
+        k = int(d.argmax())
+        over = d[k] > limit * v.std(ddof=1)
+        gone.append(left.pop(k))
+        best = i + 1 if over else best
+    return set(gone[:best])
+
+
+def test_critical_values():
+    # published for n = 54, alpha = 0.05
+    assert gesd_critical(54, np.array([1, 2, 3, 4, 5]), 0.05) == pytest.approx([3.158794, 3.151430, 3.143890, 3.136165, 3.128247], abs=2e-3)
+
+
+@pytest.mark.parametrize("scale", [0.002, 0.5])
+def test_esd_is_the_same_in_segments_and_by_definition(spark, scale):
     r = random.Random(6)
-    a = [20 + r.gauss(0, 0.001) for _ in range(600)]
-    for i in range(0, 600, 15):
-        a[i] += 0.05  # 40 outliers, whose squares add up to 0.1
-    whole, cut = (flags(spark, {"a": a}, hot, trend_s=None, period_s=None) for hot in (10**6, 20))
-    spikes = {k for k, x in whole.items() if x.spike}
-    assert {("a", i) for i in range(0, 600, 15)} <= spikes and len(spikes) < 50
-    assert {k for k, x in cut.items() if x.spike} == spikes
+    a = [20 + r.gauss(0, scale) for _ in range(1500)]
+    for i in range(0, 1500, 25):
+        a[i] += scale * r.choice([-1, 1, 1, 1]) * r.uniform(6, 60)  # 60 outliers, most of them above, which pull the mean
+    b = [20 + r.gauss(0, scale) for _ in range(30)]
+    got = {}
+    for hot in (500_000, 50):
+        f = flags(spark, {"a": a, "b": b}, hot, trend_s=None, period_s=None)
+        got[hot] = {i for (s, i), x in f.items() if x.spike}
+    y = np.array(a) - np.median(a)
+    want = plain_esd(y, int(len(y) * 0.05) + 1, 0.001)
+    assert got[50] == got[500_000] == want and set(range(0, 1500, 25)) <= want
+
+
+def test_seasonal_parts_are_the_same_in_segments(spark):
+    r = random.Random(8)
+    a = [0.5 + 0.02 * math.sin(2 * math.pi * (i % 48) / 48) + i * 2e-5 + r.gauss(0, 0.002) for i in range(48 * 8)]
+    a[77] += 0.03
+    a[200:208] = [0.51] * 8
+    whole, parts = (flags(spark, {"a": a}, hot) for hot in (10**6, 40))
+    assert {k: (x.spike, x.frozen, x.out_of_range, round(x.residual, 9)) for k, x in whole.items()} == {k: (x.spike, x.frozen, x.out_of_range, round(x.residual, 9)) for k, x in parts.items()}
+    assert whole["a", 77].spike and all(whole["a", i].frozen for i in range(200, 208))
 
 
 def test_empty(spark):
