@@ -11,98 +11,94 @@ from quillon.runtime import cut, tidy_name
 
 
 def class_links(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses") -> tuple[DataFrame, DataFrame]:
-    """The classes (n) and their links (n, p) to defined parents.
+    """The names of the classes (n) and their links (n, p), among them those to parents that are never defined.
 
     Names are trimmed and lower-cased; rows of a null or blank name are left out, all rows of a name together
-    define the class. Null, blank and undefined parents and null or empty lists give no link.
+    define the class. Null and blank parents and null or empty lists give no link.
     """
     r = rows.select(tidy_name(name).alias("n"), F.col(parents).alias("ps")).where("n is not null")
-    nodes = r.select("n").distinct()
     links = r.select("n", F.explode("ps").alias("p")).select("n", tidy_name("p").alias("p")).where("p is not null").distinct()
-    return nodes, links.join(nodes.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p")
+    return r.select("n").distinct(), links
 
 
-def _endless(links: DataFrame, a: str, b: str) -> DataFrame:
-    """The nodes `a` from which a walk over links a -> b never has to end.
+def class_graph(rows: DataFrame, *, name: str, parents: str) -> tuple[DataFrame, DataFrame]:
+    """Classes (id, name) and links (n, p) by id, under the rules of class_links. Ids are in the order of the names."""
+    names, links = class_links(rows, name=name, parents=parents)
+    nodes = cut(names.orderBy("n").select(F.monotonically_increasing_id().alias("id"), F.col("n").alias("name")))
+    own, up = nodes.select(F.col("id").alias("a"), F.col("name").alias("n")), nodes.select(F.col("id").alias("b"), F.col("name").alias("p"))
+    return nodes, cut(links.join(own, "n").join(up, "p").select(F.col("a").alias("n"), F.col("b").alias("p")))
 
-    Round k holds the pairs joined by a walk of exactly 2^k links. A node whose longest walk has m links has
-    nodes with every smaller length on that walk, so once a round loses no node, no finite walk is left.
-    """
-    walk = links.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    alive = walk.select("a").distinct().count()
-    while alive:
-        walk = cut(walk.alias("x").join(walk.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct())
-        now = walk.select("a").distinct().count()
-        if now == alive:
-            break
-        alive = now
-    return walk.select(F.col("a").alias("n")).distinct()
 
+def _climb(base: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, endless): base's pairs (n, top), carried down to every node from which links (n, p) lead to base's n, and
+    the nodes (n) that are in a loop or below one.
 
-def find_loops(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes that are in a loop or below one, members of loops as (n, loop)); a loop is named by its smallest member."""
-    below = cut(_endless(links, "n", "p"))
-    in_below = links.join(below, "n", "left_semi").join(below.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p")
-    above = cut(_endless(in_below, "p", "n"))
-    core = cut(in_below.join(above, "n", "left_semi").join(above.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p"))
-    reach = _pairs(core).select("n", F.col("anc").alias("p"))  # only nodes on loops or between two loops are left here
+    Reach doubles: round k extends the pairs found within 2^k levels by the walks over exactly 2^k levels, so a chain
+    of a million levels takes 20 rounds. Walks thin out as levels end; a node whose longest walk has m levels has nodes with
+    every smaller length on that walk, so once a round loses no node, all nodes left walk forever. Once a round
+    finds no pair either, none lies further: its shortest walk would pass a node that this round had found.
+    """
+    found, jump, alive = cut(base.select("n", "top").distinct()), links, None
+    while True:
+        more = jump.join(found.select(F.col("n").alias("p"), "top"), "p").select("n", "top").distinct()
+        fresh = cut(more.join(found, ["n", "top"], "left_anti"))
+        jump = cut(jump.alias("x").join(jump.alias("y"), F.col("x.p") == F.col("y.n")).select("x.n", "y.p").distinct())
+        now = jump.select("n").distinct().count()
+        if not now:
+            return found.union(fresh), jump.select("n")
+        if now == alive and fresh.isEmpty():
+            return found, jump.select("n").distinct()
+        found, alive = found.union(fresh), now
+
+
+def find_loops(links: DataFrame, below: DataFrame) -> DataFrame:
+    """(n, loop): members of loops, a loop being named by its smallest member; below: the nodes in or below loops."""
+    inner = links.join(below, "n", "left_semi").join(below.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p")
+    nothing = inner.select("n", F.col("p").alias("top")).limit(0)
+    _, above = _climb(nothing, cut(inner.select(F.col("p").alias("n"), F.col("n").alias("p"))))
+    above = cut(above)
+    core = inner.join(above, "n", "left_semi").join(above.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p")
+    reach = ancestor_pairs(core).select("n", F.col("anc").alias("p"))  # only nodes on loops or between two loops are left here
     mutual = reach.join(reach.select(F.col("p").alias("n"), F.col("n").alias("p")), ["n", "p"], "left_semi")
-    return below, cut(mutual.groupBy("n").agg(F.min("p").alias("loop")))
+    return cut(mutual.groupBy("n").agg(F.min("p").alias("loop")))
 
 
-def _climb(base: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs (n, top): base's pairs, carried down to every node from which links (n, p; no loops) lead to base's n.
+def _loops(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    nothing = nodes.select(F.col("id").alias("n"), F.col("id").alias("top")).limit(0)
+    return find_loops(links, cut(_climb(nothing, links)[1]))
 
-    The frontier doubles its reach each round: round k extends the pairs found within 2^k levels by the links
-    over exactly 2^k levels, so a chain of a million levels takes 20 joins.
-    """
-    found, jump = base.select("n", "top").distinct(), links.select("n", "p")
-    while True:
-        found = cut(found.union(jump.join(found.select(F.col("n").alias("p"), "top"), "p").select("n", "top")).distinct())
-        jump = cut(jump.alias("x").join(jump.alias("y"), F.col("x.p") == F.col("y.n")).select("x.n", "y.p").distinct())
-        if jump.isEmpty():
-            return found
+
+def _named(df: DataFrame, nodes: DataFrame, **columns: str) -> DataFrame:
+    """Names in place of ids: new column = column of ids (null stays null)."""
+    for new, old in columns.items():
+        df = df.join(nodes.select(F.col("id").alias(old), F.col("name").alias(new)), old, "left").drop(old)
+    return df
 
 
 def tops(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses") -> DataFrame:
     """(class_name, top_name): every root and every loop that a class is, is in, or has among its ancestors.
 
     Level-wise frontier joins from the roots downwards, each round covering twice the levels of the one before
-    (see _climb); classes that no round ends are in or below a loop, and loops stand as tops of their own.
+    (see _climb); classes that no round ends are in or below a loop, and loops are carried down as roots are. Names
+    are numbered first, so that only numbers are shuffled.
     Rules for names and lists: class_links. A root is a class without a defined parent; a class that is only its
     own parent is a loop, not a root. An empty table gives no rows; repeated rows and extra columns change nothing.
     """
-    nodes, links = (cut(x) for x in class_links(rows, name=name, parents=parents))
-    below, loops = find_loops(links)
-    roots = nodes.join(links, "n", "left_anti").select("n", F.col("n").alias("top"))
-    free = links.join(below, "n", "left_anti")
-    clear = _climb(roots, free)
-    # Loops become single nodes; what is above them in loop-free parts is already known.
-    comp = below.join(loops, "n", "left").select("n", F.coalesce("loop", "n").alias("c"))
-    up = links.join(comp, "n").select("c", "p").distinct()
-    inner = up.join(comp.select(F.col("n").alias("p"), F.col("c").alias("d")), "p").where("c != d").select(F.col("c").alias("n"), F.col("d").alias("p")).distinct()
-    outer = up.join(clear.select(F.col("n").alias("p"), "top"), "p").select(F.col("c").alias("n"), "top")
-    own = loops.select(F.col("loop").alias("n"), F.col("loop").alias("top"))
-    tangled = _climb(own.union(outer), inner)
-    spread = comp.join(tangled.select(F.col("n").alias("c"), "top"), "c").select("n", "top")
-    return clear.union(spread).select(F.col("n").alias("class_name"), F.col("top").alias("top_name"))
-
-
-def ancestor_pairs(links: DataFrame, loops: DataFrame | None) -> DataFrame:
-    """(n, anc, levels): all ancestors with the fewest levels between; a loop is one node, named by its smallest member.
-
-    Without `loops`, members of a loop are ancestors of each other and of themselves.
-    """
-    if loops is None:
-        return _pairs(links)
-    tag = loops.select(F.col("n").alias("m"), "loop")
-    l1 = links.join(tag.withColumnsRenamed({"m": "n", "loop": "ln"}), "n", "left").join(tag.withColumnsRenamed({"m": "p", "loop": "lp"}), "p", "left")
-    free = l1.select(F.coalesce("ln", "n").alias("n"), F.coalesce("lp", "p").alias("p")).where("n != p").distinct()
-    return _pairs(free)
-
-
-def _pairs(free: DataFrame) -> DataFrame:
-    found, far = cut(free.select("n", F.col("p").alias("anc"), F.lit(1).cast("long").alias("levels"))), 1
+    nodes, links = class_graph(rows, name=name, parents=parents)
+    roots = nodes.select(F.col("id").alias("n")).join(links, "n", "left_anti").select("n", F.col("n").alias("top"))
+    clear, below = _climb(roots, links)
+    below = cut(below)
+    out = clear
+    if not below.isEmpty():
+        loops = find_loops(links, below)
+        inner = cut(links.join(below, "n", "left_semi").join(below.select(F.col("n").alias("p")), "p", "left_semi").select("n", "p"))
+        out = clear.union(_climb(loops.select("n", F.col("loop").alias("top")), inner)[0])
+    return _named(out, nodes, class_name="n", top_name="top")
+
+
+def ancestor_pairs(links: DataFrame) -> DataFrame:
+    """(n, anc, levels): all ancestors with the fewest levels between; members of a loop are their own and each other's."""
+    found, far = cut(links.select("n", F.col("p").alias("anc"), F.lit(1).cast("long").alias("levels"))), 1
     while True:
         # a shortest way of more than `far` levels begins with one of exactly `far`, so in a tree every pair is made once
         edge = found.where(F.col("levels") == far)
@@ -117,8 +113,8 @@ def descendants(rows: DataFrame, *, name: str = "class_name", parents: str = "su
 
     Members of a loop are descendants of each other and each of every class above; no class is its own.
     """
-    _, links = class_links(rows, name=name, parents=parents)
-    return _pairs(cut(links)).where("n != anc").select(F.col("anc").alias("class_name"), F.col("n").alias("descendant"), "levels")
+    nodes, links = class_graph(rows, name=name, parents=parents)
+    return _named(ancestor_pairs(links).where("n != anc"), nodes, class_name="anc", descendant="n").select("class_name", "descendant", "levels")
 
 
 def hierarchy(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses", members: bool = False) -> DataFrame:
@@ -129,30 +125,36 @@ def hierarchy(rows: DataFrame, *, name: str = "class_name", parents: str = "supe
     for a root; null where no root is above). Columns: class_name, depth, ancestors, descendants, loop (null
     outside loops).
     """
-    nodes, links = (cut(x) for x in class_links(rows, name=name, parents=parents))
-    _, loops = find_loops(links)
-    pairs = _pairs(links).where("n != anc") if members else ancestor_pairs(links, loops)
-    roots = nodes.join(links, "n", "left_anti")
+    nodes, links = class_graph(rows, name=name, parents=parents)
+    loops, ids = _loops(nodes, links), nodes.select(F.col("id").alias("n"))
+    if members:
+        pairs = ancestor_pairs(links).where("n != anc")
+    else:  # loops become single nodes
+        tag = lambda end: loops.select(F.col("n").alias(end), F.col("loop").alias(f"l{end}"))
+        whole = links.join(tag("n"), "n", "left").join(tag("p"), "p", "left").select(F.coalesce("ln", "n").alias("n"), F.coalesce("lp", "p").alias("p"))
+        pairs = ancestor_pairs(whole.where("n != p").distinct())
+    roots = ids.join(links, "n", "left_anti")
     depth = pairs.join(roots.select(F.col("n").alias("anc")), "anc", "left_semi").groupBy("n").agg(F.min("levels").alias("depth"))
     depth = depth.union(roots.select("n", F.lit(0).cast("long")))
     up = pairs.groupBy("n").agg(F.count(F.lit(1)).alias("ancestors"))
     down = pairs.groupBy(F.col("anc").alias("n")).agg(F.count(F.lit(1)).alias("descendants"))
-    base = nodes.join(loops, "n", "left").select(F.col("n").alias("class_name"), (F.col("n") if members else F.coalesce("loop", "n")).alias("n"), "loop")
+    base = ids.join(loops, "n", "left").select(F.col("n").alias("class"), (F.col("n") if members else F.coalesce("loop", "n")).alias("n"), "loop")
     all_ = reduce(lambda x, y: x.join(y, "n", "left"), (depth, up, down), base)
-    return all_.select("class_name", "depth", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("descendants", F.lit(0)).alias("descendants"), "loop")
+    out = all_.select("class", "depth", F.coalesce("ancestors", F.lit(0)).alias("ancestors"), F.coalesce("descendants", F.lit(0)).alias("descendants"), F.col("loop").alias("ring"))
+    return _named(out, nodes, class_name="class", loop="ring")
 
 
 def full_paths(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses") -> DataFrame:
-    """(class_name, top_name, path, levels): every path from a root down to each class outside loops and not below one.
+    """(class_name, top_name, path, levels): every path from a root down to a class that meets no member of a loop.
 
     A path is an array of names, root first. Paths are extended by joins that double in length; a class with
-    several parents has a path for each way up. Classes in or below loops have no finite path set and are
-    reported by tops() instead.
+    several parents has a path for each way up. Members of loops have no such path; classes below loops have
+    those of their ways up that touch none. all_paths() has the ways through and into loops too.
     """
-    nodes, links = (cut(x) for x in class_links(rows, name=name, parents=parents))
-    below, _ = find_loops(links)
-    free = links.join(below, "n", "left_anti")
-    done = nodes.join(links, "n", "left_anti").select("n", F.array("n").alias("path"))
+    names, links, loops = _named_links(rows, name, parents)
+    members = loops.select("n")
+    free = links.join(members, "n", "left_anti").join(members.select(F.col("n").alias("p")), "p", "left_anti").select("n", "p")
+    done = names.join(links, "n", "left_anti").select("n", F.array("n").alias("path"))
     jump = free.select("n", "p", F.array("n").alias("way"))  # way: the names from below p down to n
     while True:
         done = cut(done.union(jump.join(done.select(F.col("n").alias("p"), "path"), "p").select("n", F.concat("path", "way"))))
@@ -161,6 +163,14 @@ def full_paths(rows: DataFrame, *, name: str = "class_name", parents: str = "sup
             return done.select(F.col("n").alias("class_name"), F.col("path")[0].alias("top_name"), "path", (F.size("path") - 1).cast("long").alias("levels"))
 
 
+def _named_links(rows: DataFrame, name: str, parents: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names (n), links (n, p) and members of loops (n, loop), all by name."""
+    nodes, links = class_graph(rows, name=name, parents=parents)
+    loops = _named(_loops(nodes, links).withColumnsRenamed({"n": "a", "loop": "b"}), nodes, n="a", loop="b")
+    by_name = _named(links.withColumnsRenamed({"n": "a", "p": "b"}), nodes, n="a", p="b")
+    return nodes.select(F.col("name").alias("n")), cut(by_name), cut(loops)
+
+
 def all_paths(rows: DataFrame, *, name: str = "class_name", parents: str = "superclasses") -> DataFrame:
     """(class_name, top_name, path, levels, loop): every way up from every class that meets no class twice, top first.
 
@@ -169,10 +179,8 @@ def all_paths(rows: DataFrame, *, name: str = "class_name", parents: str = "supe
     are those of tops(). Ways through a loop to a root above it are kept. Joins double in length as in
     full_paths; tightly knit loops have as many ways as there are orders to walk them.
     """
-    nodes, links = (cut(x) for x in class_links(rows, name=name, parents=parents))
-    _, loops = find_loops(links)
-    roots = nodes.join(links, "n", "left_anti")
-    own = loops.select("n", "loop")
+    names, links, own = _named_links(rows, name, parents)
+    roots = names.join(links, "n", "left_anti")
     back = links.join(own, "n").join(own.select(F.col("n").alias("p"), F.col("loop").alias("l2")), "p").where("loop = l2")  # links inside a loop
     done = roots.select("n", F.array("n").alias("path"), F.lit(None).cast("string").alias("again"), F.lit(None).cast("string").alias("loop"))
     done = done.union(back.select("n", F.array("n").alias("path"), F.col("p").alias("again"), "loop"))  # again: must lie further down

@@ -108,7 +108,7 @@ def closure_pairs(links: DataFrame) -> DataFrame:
     from quillon.operators.hierarchy import ancestor_pairs
 
     l1 = links.select(F.col("child").alias("n"), F.col("parent").alias("p")).where("n is not null and p is not null").distinct()
-    return ancestor_pairs(l1, None).select(F.col("n").alias("child"), F.col("anc").alias("ancestor"))
+    return ancestor_pairs(l1).select(F.col("n").alias("child"), F.col("anc").alias("ancestor"))
 
 
 def _lookup(facts: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

@@ -93,7 +93,7 @@ SELECT series_key, slot * step AS slot_start_s, CASE WHEN seen THEN 'observed' W
 WITH RECURSIVE nodes AS (SELECT DISTINCT lower(trim(class_name)) AS n FROM class_info WHERE trim(class_name) != ''),
 links AS (SELECT DISTINCT lower(trim(class_name)) AS n, lower(trim(p)) AS p FROM (SELECT class_name, unnest(superclasses) AS p FROM class_info) WHERE lower(trim(p)) IN (SELECT n FROM nodes)),
 up(n, a) AS (SELECT n, p FROM links UNION SELECT up.n, links.p FROM up JOIN links ON up.a = links.n),
-bad AS (SELECT n FROM up WHERE n = a UNION SELECT n FROM up WHERE a IN (SELECT n FROM up WHERE n = a)),
+bad AS (SELECT n FROM up WHERE n = a),
 w(n, path) AS (SELECT n, [n] FROM nodes WHERE n NOT IN (SELECT n FROM links) UNION ALL SELECT links.n, list_append(path, links.n) FROM w JOIN links ON links.p = w.n WHERE links.n NOT IN (SELECT n FROM bad))
 SELECT n AS class_name, path[1] AS top_name, path, (len(path) - 1)::BIGINT AS levels FROM w""",
     "p4_hierarchy": """
@@ -107,6 +107,21 @@ t(n, a, k) AS (SELECT n, p, 1 FROM e UNION SELECT t.n, e.p, k + 1 FROM t JOIN e
 s AS (SELECT n, a, min(k) AS k FROM t GROUP BY 1, 2), root AS (SELECT n FROM nodes WHERE n NOT IN (SELECT n FROM links)),
 d AS (SELECT n, min(k)::BIGINT AS depth FROM s WHERE a IN (SELECT n FROM root) GROUP BY 1 UNION ALL SELECT n, 0 FROM root)
 SELECT c.n AS class_name, depth, (SELECT count(*) FROM s WHERE s.n = c.m) AS ancestors, (SELECT count(*) FROM s WHERE s.a = c.m) AS descendants, loop FROM c LEFT JOIN d ON d.n = c.m""",
+    "p4_descendants": """
+WITH RECURSIVE nodes AS (SELECT DISTINCT lower(trim(class_name)) AS n FROM class_info WHERE trim(class_name) != ''),
+links AS (SELECT DISTINCT lower(trim(class_name)) AS n, lower(trim(p)) AS p FROM (SELECT class_name, unnest(superclasses) AS p FROM class_info) WHERE lower(trim(p)) IN (SELECT n FROM nodes)),
+t(n, a, k) AS (SELECT n, p, 1 FROM links UNION SELECT t.n, links.p, k + 1 FROM t JOIN links ON links.n = t.a WHERE k < (SELECT count(*) FROM nodes)),
+s AS (SELECT n, a, min(k)::BIGINT AS k FROM t GROUP BY 1, 2), d AS (SELECT * FROM s WHERE n != a)
+SELECT a AS class_name, n AS descendant, k AS levels FROM d""",
+    "p4_counts": """
+WITH RECURSIVE nodes AS (SELECT DISTINCT lower(trim(class_name)) AS n FROM class_info WHERE trim(class_name) != ''),
+links AS (SELECT DISTINCT lower(trim(class_name)) AS n, lower(trim(p)) AS p FROM (SELECT class_name, unnest(superclasses) AS p FROM class_info) WHERE lower(trim(p)) IN (SELECT n FROM nodes)),
+t(n, a, k) AS (SELECT n, p, 1 FROM links UNION SELECT t.n, links.p, k + 1 FROM t JOIN links ON links.n = t.a WHERE k < (SELECT count(*) FROM nodes)),
+s AS (SELECT n, a, min(k)::BIGINT AS k FROM t GROUP BY 1, 2), d AS (SELECT * FROM s WHERE n != a),
+loop AS (SELECT x.n, min(y.n) AS loop FROM s x JOIN s y ON x.a = y.n AND x.n = y.a GROUP BY 1), root AS (SELECT n FROM nodes WHERE n NOT IN (SELECT n FROM links)),
+z AS (SELECT n, min(k) AS depth FROM d WHERE a IN (SELECT n FROM root) GROUP BY 1 UNION ALL SELECT n, 0 FROM root)
+SELECT nodes.n AS class_name, depth, (SELECT count(*) FROM d WHERE d.n = nodes.n) AS ancestors, (SELECT count(*) FROM d WHERE d.a = nodes.n) AS descendants, loop
+FROM nodes LEFT JOIN loop USING (n) LEFT JOIN z USING (n)""",
     "p7_found": """
 WITH p AS (SELECT DISTINCT point_id, entity_id, lon, lat FROM st_point WHERE lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90 AND NOT (lon = 0 AND lat = 0)),
 q AS (SELECT *, floor(lat * 1000)::BIGINT AS band FROM p), b AS (SELECT q.*, band + k AS cell FROM q, (SELECT unnest([-1, 0, 1]) AS k)),

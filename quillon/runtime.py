@@ -25,9 +25,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint, which survives the loss of an executor."""
+    """Cut the lineage by a reliable checkpoint, which survives the loss of an executor.
+
+    toDF gives the columns new attributes: several checkpoints that share one can't be planned together.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.toDF(*df.columns).checkpoint(eager=True)
 
 
 def epoch_us(col: Column | str) -> Column:

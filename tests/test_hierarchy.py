@@ -50,6 +50,12 @@ def test_chain_and_paths(spark):
     assert ("two", ("n0", "n1", "n2", "n3", "two")) in paths and not any(n in "abc" for n, _ in paths)
 
 
+def test_paths_below_loops(spark):
+    rows = [("root", None), ("l1", ["l2"]), ("l2", ["l1", "root"]), ("x", ["root", "l1"]), ("y", ["x"]), ("z", ["l2"]), ("own", ["own", "root"])]
+    paths = [(x.class_name, tuple(x.path)) for x in full_paths(frame(spark, rows)).collect()]
+    assert sorted(paths) == [("root", ("root",)), ("x", ("root", "x")), ("y", ("root", "x", "y"))]
+
+
 def test_empty(spark):
     assert tops(frame(spark, [])).count() == hierarchy(frame(spark, [])).count() == full_paths(frame(spark, [])).count() == 0
     assert [tuple(r) for r in tops(frame(spark, [("a", None)])).collect()] == [("a", "a")]
