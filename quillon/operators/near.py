@@ -13,7 +13,8 @@ EARTH_M = 6_371_000.0
 SAMPLE_ROWS = 100_000
 LEAF_ROWS = 4_000
 BLOCK_ROWS = 20_000
-NODE_ROWS = 32
+NODE_ROWS = 8
+FANOUT = 8
 #: Centre axis and the two face axes of each side of the cube round the sphere; fixed values.
 FACES = ((0, 1, 2), (1, 0, 2), (2, 0, 1))
 MAX_LEVEL = 17  # cells of some 75 m; deeper ones would be smaller than the discs that are looked up
@@ -128,7 +129,10 @@ def leaves_of_discs(tree: QuadTree, xyz: np.ndarray, radius_m: float) -> tuple[n
 
 
 class RTree:
-    """Boxes packed by sort-tile-recursive: sorted into slices along the first axis, then along the second."""
+    """Boxes packed by sort-tile-recursive: sorted into slices along the first axis, then along the second.
+
+    Leaves hold node_rows boxes each; above them every FANOUT neighbours share a parent, up to a single root.
+    """
 
     def __init__(self, lo: np.ndarray, hi: np.ndarray, node_rows: int = NODE_ROWS):
         mid, n = (lo + hi) / 2, len(lo)
@@ -136,20 +140,46 @@ class RTree:
         per = -(-n // max(1, int(np.ceil(np.sqrt(nodes)))))
         first = np.argsort(mid[:, 0], kind="stable")
         order = np.concatenate([s[np.argsort(mid[s, 1], kind="stable")] for s in (first[k : k + per] for k in range(0, n, max(1, per)))]) if n else first
-        self.order, self.at = order, np.arange(0, n, node_rows)
-        self.end = np.minimum(self.at + node_rows, n)
-        self.lo = np.minimum.reduceat(lo[order], self.at, axis=0) if n else lo
-        self.hi = np.maximum.reduceat(hi[order], self.at, axis=0) if n else hi
-
-    def overlapping(self, other: RTree, rows: int = 512) -> Iterator[tuple[int, int]]:
-        """Pairs of nodes whose boxes meet."""
-        for k in range(0, len(self.at), rows):
-            lo, hi = self.lo[k : k + rows], self.hi[k : k + rows]
-            meet = np.ones((len(lo), len(other.at)), bool)
-            for a in range(lo.shape[1]):
-                meet &= (lo[:, None, a] <= other.hi[None, :, a]) & (hi[:, None, a] >= other.lo[None, :, a])
-            for i, j in np.argwhere(meet):
-                yield k + i, j
+        self.order, self.rows, self.lo, self.hi = order, node_rows, lo[order], hi[order]
+        self.levels, size = [], node_rows  # from the leaves to the root: corners of each node's box
+        lows, highs = self.lo, self.hi
+        while n and (not self.levels or len(lows) > 1):
+            at = np.arange(0, len(lows), size)
+            lows, highs, size = np.minimum.reduceat(lows, at, axis=0), np.maximum.reduceat(highs, at, axis=0), FANOUT
+            self.levels.append((lows, highs))
+
+    def _below(self, node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position in node, child) of all children of the nodes of a level; below the leaves the children are boxes."""
+        size, most = (FANOUT, len(self.levels[level - 1][0])) if level else (self.rows, len(self.order))
+        child = node[:, None] * size + np.arange(size)
+        at, k = np.nonzero(child < most)
+        return at, child[at, k]
+
+    def overlapping(self, other: RTree, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of boxes (places in what the trees were made of) that meet, in arrays made from some `most` tests at a time.
+
+        Both trees are walked down from their roots together, a level of the taller one at a time.
+        """
+        if not self.levels or not other.levels:
+            return
+        root = np.zeros(1, np.int64)
+        todo = [(root, root, len(self.levels) - 1, len(other.levels) - 1)]  # level -1: boxes themselves
+        while todo:
+            i, j, li, lj = todo.pop()
+            (alo, ahi), (blo, bhi) = (t.levels[k] if k >= 0 else (t.lo, t.hi) for t, k in ((self, li), (other, lj)))
+            meet = np.ones(len(i), bool)
+            for a in range(alo.shape[1]):
+                meet &= (alo[i, a] <= bhi[j, a]) & (ahi[i, a] >= blo[j, a])
+            i, j = i[meet], j[meet]
+            if li < 0 and lj < 0:
+                yield self.order[i], other.order[j]
+                continue
+            left = li >= lj
+            t, level, node = (self, li, i) if left else (other, lj, j)
+            for k in range(0, len(i), max(1, most // (FANOUT if level else t.rows))):
+                at, child = t._below(node[k : k + max(1, most // (FANOUT if level else t.rows))], level)
+                at += k
+                todo.append((child, j[at], li - 1, lj) if left else (i[at], child, li, lj - 1))
 
 
 def _usable(points: DataFrame, lon: str, lat: str):
@@ -210,18 +240,17 @@ def near_pairs(
             row, leaf = leaves_of_discs(t, xyz, radius_m)
             nb = t.blocks[leaf]
             own, cut_at = home[row] == leaf, ids[row] % nb
-            out = []
-            one = nb == 1
-            out.append((row[one], leaf[one], 0, 0, np.where(own[one], 3, 2)))
-            for k in np.flatnonzero(~one):  # blocks by blocks
-                every = np.arange(nb[k])
-                r, lf = np.full(nb[k], row[k]), np.full(nb[k], leaf[k])
-                out.append((r, lf, every, np.full(nb[k], cut_at[k]), np.full(nb[k], 2)))
-                if own[k]:
-                    out.append((r, lf, np.full(nb[k], cut_at[k]), every, np.full(nb[k], 1)))
-            for r, lf, bi, bj, role in out:
-                got = d.iloc[r]
-                yield pd.DataFrame({"leaf": lf, "bi": bi, "bj": bj, "role": role, "id": got["id"].to_numpy(), "entity": got["entity"].to_numpy(), "lon": got["lon"].to_numpy(), "lat": got["lat"].to_numpy(), "radius": 0.0})
+            # a leaf of n blocks is worked as n x n pairs of blocks: a row goes to all pairs with its block on either side
+            each = np.repeat(np.arange(len(row)), nb)
+            step = np.arange(len(each)) - np.repeat(np.cumsum(nb) - nb, nb)
+            mine = np.flatnonzero(own[each] & (nb[each] > 1))
+            one, cuts = nb[each] == 1, cut_at[each]
+            r = np.concatenate([row[each], row[each[mine]]])
+            got = d.iloc[r]
+            yield pd.DataFrame({
+                "leaf": np.concatenate([leaf[each], leaf[each[mine]]]), "bi": np.concatenate([step, cuts[mine]]), "bj": np.concatenate([np.where(one, 0, cuts), step[mine]]),
+                "role": np.concatenate([np.where(one & own[each], 3, 2), np.full(len(mine), 1)]), "id": got["id"].to_numpy(), "entity": got["entity"].to_numpy(), "lon": got["lon"].to_numpy(), "lat": got["lat"].to_numpy(), "radius": 0.0,
+            })
 
     def match(d: pd.DataFrame) -> pd.DataFrame:
         d = d.drop_duplicates(["role", "id"])
@@ -235,16 +264,12 @@ def near_pairs(
             pt, bt = RTree(px - reach, px + reach), RTree(bx, bx)
             pid, bid = probe["id"].to_numpy(), build["id"].to_numpy()
             plon, plat, blon, blat = (x.to_numpy() for x in (probe["lon"], probe["lat"], build["lon"], build["lat"]))
-            for i, j in pt.overlapping(bt):
-                pi, bj = pt.order[pt.at[i] : pt.end[i]], bt.order[bt.at[j] : bt.end[j]]
-                ok = (pid[pi][:, None] < bid[bj][None]) & (pe[pi][:, None] != be[bj][None])
-                ok &= ((px[pi][:, None] - bx[bj][None]) ** 2).sum(2) <= reach * reach
-                x, y = np.nonzero(ok)
-                if len(x):
-                    x, y = pi[x], bj[y]
-                    m = distance_m(plon[x], plat[x], blon[y], blat[y]) <= radius_m
-                    a.append(pid[x[m]])
-                    b.append(bid[y[m]])
+            for x, y in pt.overlapping(bt):
+                ok = (pid[x] < bid[y]) & (pe[x] != be[y])
+                x, y = x[ok], y[ok]
+                m = distance_m(plon[x], plat[x], blon[y], blat[y]) <= radius_m
+                a.append(pid[x[m]])
+                b.append(bid[y[m]])
         return pd.DataFrame({"id_a": np.concatenate(a) if a else np.zeros(0, np.int64), "id_b": np.concatenate(b) if b else np.zeros(0, np.int64)})
 
     placed = p.mapInPandas(place, PLACED)
@@ -281,12 +306,14 @@ def containing_regions(
         mid, far = t.caps()
         for d in parts:
             xyz = to_xyz(d["lon"].to_numpy(float), d["lat"].to_numpy(float))
-            for k in range(len(d)):
-                angle = np.arccos(np.clip(mid @ xyz[k], -1, 1))
-                leaf = np.flatnonzero(angle <= far + d["radius"].iloc[k] / EARTH_M * 1.0001 + 1e-7)
-                leaf = np.repeat(leaf, t.blocks[leaf])
-                bi = np.arange(len(leaf)) - np.searchsorted(leaf, leaf)
-                yield pd.DataFrame({"leaf": leaf, "bi": bi, "bj": 0, "role": 2, "id": 0, "entity": d["entity"].iloc[k], "lon": d["lon"].iloc[k], "lat": d["lat"].iloc[k], "radius": d["radius"].iloc[k]})
+            for k in range(0, len(d), 256):
+                part = d.iloc[k : k + 256]
+                angle = np.arccos(np.clip(xyz[k : k + 256] @ mid.T, -1, 1))
+                row, leaf = np.nonzero(angle <= far[None] + part["radius"].to_numpy()[:, None] / EARTH_M * 1.0001 + 1e-7)
+                nb = t.blocks[leaf]
+                bi = np.arange(nb.sum()) - np.repeat(np.cumsum(nb) - nb, nb)
+                got = part.iloc[np.repeat(row, nb)]
+                yield pd.DataFrame({"leaf": np.repeat(leaf, nb), "bi": bi, "bj": 0, "role": 2, "id": 0, "entity": got["entity"].to_numpy(), "lon": got["lon"].to_numpy(), "lat": got["lat"].to_numpy(), "radius": got["radius"].to_numpy()})
 
     def match(d: pd.DataFrame) -> pd.DataFrame:
         probe, build = d[d["role"] == 1].drop_duplicates("id"), d[d["role"] == 2]
@@ -298,11 +325,10 @@ def containing_regions(
             pt, bt = RTree(px, px), RTree(bx - reach, bx + reach)
             pid, rid = probe["id"].to_numpy(), build["entity"].to_numpy()
             plon, plat, blon, blat = (x.to_numpy() for x in (probe["lon"], probe["lat"], build["lon"], build["lat"]))
-            for i, j in pt.overlapping(bt):
-                pi, bj = pt.order[pt.at[i] : pt.end[i]], bt.order[bt.at[j] : bt.end[j]]
-                x, y = np.nonzero(distance_m(plon[pi][:, None], plat[pi][:, None], blon[bj][None], blat[bj][None]) <= rad[bj][None])
-                a.append(pid[pi[x]])
-                b.append(rid[bj[y]])
+            for x, y in pt.overlapping(bt):
+                m = distance_m(plon[x], plat[x], blon[y], blat[y]) <= rad[y]
+                a.append(pid[x[m]])
+                b.append(rid[y[m]])
         return pd.DataFrame({"id": np.concatenate(a) if a else np.zeros(0, np.int64), "region": np.concatenate(b) if b else np.zeros(0, object)}).drop_duplicates()
 
     placed = p.mapInPandas(place, PLACED).unionByName(r.mapInPandas(spread, PLACED))
