@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quillon.runtime import tidy_name
 
 HEAVY_SHARE = 1 / 1000
-SAMPLE_ROWS = 200_000
-BROADCAST_ROWS = 200_000
+SKETCH_ITEMS = 100_000
+BROADCAST_BYTES = 8 << 20
+ROW_BYTES = 48  # of a broadcast pair of keys, besides their letters
 
 
 def tidy_links(links: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
@@ -17,63 +18,62 @@ def tidy_links(links: DataFrame, source: str = "source", target: str = "target")
     return links.select(tidy_name(source).alias("s"), tidy_name(target).alias("t"))
 
 
-def heavy_keys(links: DataFrame, *, source: str = "source", target: str = "target", share: float = HEAVY_SHARE, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Keys that hold at least about `share` of the ends of links, found in a sample of some `sample_rows` links.
+def heavy_keys(links: DataFrame, *, source: str = "source", target: str = "target", share: float = HEAVY_SHARE, sketch_items: int = SKETCH_ITEMS) -> dict[str, tuple[int, int]]:
+    """Keys that hold at least about `share` of the links at one of their ends: key -> (links from it, links to it).
 
-    At most 2 / share keys can come out, so the list may be broadcast whatever the size of the data. A key
-    missed or added by chance only changes which of two equivalent ways its rows go.
+    One pass with two frequent-item sketches of at most `sketch_items` keys each, which are merged without moving
+    rows. At most 2 / share keys can come out, so they may be broadcast whatever the size of the data. The numbers
+    are estimates; a key missed or added only changes which of two equivalent ways its rows go.
     """
-    n = links.count()
-    part = links if n <= sample_rows else links.sample(sample_rows / n, seed=11)
-    ends = tidy_links(part, source, target).select(F.explode(F.array("s", "t")).alias("k"))
-    least = max(2.0, share * min(n, sample_rows))
-    return [r["k"] for r in ends.groupBy("k").count().where((F.col("count") >= least) & F.col("k").isNotNull()).orderBy(F.desc("count"), "k").limit(int(2 / share)).collect()]
+    k = int(1 / share)
+    top = lambda c: F.expr(f"approx_top_k({c}, {k}, {max(sketch_items, 3 * k)})").alias(c)
+    got = tidy_links(links, source, target).where("s != t").agg(F.count(F.lit(1)).alias("n"), top("s"), top("t")).first()
+    ends = [{r["item"]: r["count"] for r in got[end] or []} for end in ("s", "t")]
+    # a key that isn't listed at an end has at most as many links there as the last one listed, or as the sketch may miss
+    rest = [max(min(e.values()) if len(e) == k else 0, -(-4 * got["n"] // max(sketch_items, 3 * k))) for e in ends]
+    least = max(2.0, share * got["n"])
+    return {x: (ends[0].get(x, rest[0]), ends[1].get(x, rest[1])) for x in sorted({x for e in ends for x, n in e.items() if n >= least})}
 
 
-def reciprocal_pairs(links: DataFrame, *, source: str = "source", target: str = "target", share: float = HEAVY_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def reciprocal_pairs(links: DataFrame, *, source: str = "source", target: str = "target", share: float = HEAVY_SHARE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key_a, key_b), key_a < key_b: the pairs of keys linked in both directions, once each.
 
-    Heavy keys are found in a sample. A link of a heavy key carries that key as `h` and the other end as `o`: the
-    smaller of the key's two directions is broadcast and the larger one streams past it without a shuffle,
-    smallest keys first while all broadcast rows together stay within `broadcast_rows`. Links of heavy keys
-    beyond that and all other links are reduced to one row per pair before an ordinary shuffle by both ends,
-    which spreads even one key over all tasks. The parts are disjoint by pair and are united.
+    Three passes over the links. A sketch finds heavy keys (a link between two broadcast ones belongs to the smaller one).
+    Of a heavy key, the direction with fewer links is broadcast, fewest first, while all broadcast pairs together
+    stay within `broadcast_bytes` by the sketch's counts; the links of the other direction stream past them in the last pass, and
+    only those that meet their counterpart go on. All other links, among them those of heavy keys beyond the bound,
+    are reduced to one row per pair on the map side before an ordinary shuffle by both ends, which spreads even one
+    key over all tasks, so nothing hangs on the broadcast. Both kinds are united in that last aggregation.
 
     Null and blank keys and links of a key to itself don't count; keys are compared trimmed and in lower case;
     parallel and repeated links count once. Empty tables give no rows; extra columns are ignored.
     """
+    spark, e = links.sparkSession, tidy_links(links, source, target).where("s != t")
     heavy = heavy_keys(links, source=source, target=target, share=share)
-    spark, e = links.sparkSession, tidy_links(links, source, target)
-    plan = []
-    if heavy:
-        hot = _hot(e, F.broadcast(spark.createDataFrame([(k,) for k in heavy], "k string")))
-        n_out, n_in = F.count(F.when(F.col("out"), 1)).alias("n_out"), F.count(F.when(~F.col("out"), 1)).alias("n_in")
-        sides = sorted((min(r["n_out"], r["n_in"]), r["h"], r["n_out"] < r["n_in"]) for r in hot.groupBy("h").agg(n_out, n_in).collect())
-        used = 0
-        for least, key, small in sides:
-            used += least
-            if used > broadcast_rows:
-                break
-            plan.append((key, small))
-    small = F.broadcast(spark.createDataFrame(plan, "k string, small boolean"))
-    light = e if not plan else e.join(small.select(F.col("k").alias("s")), "s", "left_anti").join(small.select(F.col("k").alias("t")), "t", "left_anti").select("s", "t")
-    pair = light.groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.max(F.col("s") < F.col("t")).alias("ahead"), F.max(F.col("s") > F.col("t")).alias("back"))
-    out = pair.where("ahead and back").select("a", "b")
-    if plan:
-        hot = _hot(e, small).where("h != o")
-        build = hot.where("out = small").select("h", "o").distinct()
-        met = hot.where("out != small").join(F.broadcast(build), ["h", "o"], "left_semi").distinct()
-        out = out.union(met.select(F.least("h", "o"), F.greatest("h", "o")))
-    return out.select(F.col("a").alias("key_a"), F.col("b").alias("key_b"))
-
-
-def _hot(e: DataFrame, keys: DataFrame) -> DataFrame:
-    """(h, o, out, ...): links that touch a key of `keys` (k, ...); a link between two of them belongs to the smaller one."""
-    rest = [c for c in keys.columns if c != "k"]
-    tag = lambda end: keys.select(F.col("k").alias(end), F.struct(F.lit(True).alias("is"), *rest).alias(f"k{end}"))
-    own = F.expr("ks is not null and (kt is null or s < t)")
-    both = e.join(tag("s"), "s", "left").join(tag("t"), "t", "left").where("ks is not null or kt is not null")
-    return both.select(F.when(own, F.col("s")).otherwise(F.col("t")).alias("h"), F.when(own, F.col("t")).otherwise(F.col("s")).alias("o"), own.alias("out"), *(F.when(own, F.col(f"ks.{c}")).otherwise(F.col(f"kt.{c}")).alias(c) for c in rest))
+    used, chosen, hit = 0, set(), F.lit(None).cast("boolean")
+    for n, k in sorted((min(x), k) for k, x in heavy.items()):
+        used += n * (2 * len(k) + ROW_BYTES)
+        if used > broadcast_bytes:
+            break
+        chosen.add(k)
+    if chosen:
+        keys = spark.createDataFrame([(k, o <= i) for k, (o, i) in heavy.items() if k in chosen], "k string, small boolean")
+        e = _tagged(e, F.broadcast(keys))  # at most 2 / share rows
+        build = e.where("out = small").select("h", "o").distinct().withColumn("met", F.lit(True))
+        e = e.join(F.broadcast(build), ["h", "o"], "left").where("h is null or (out != small and met)")  # within broadcast_bytes
+        hit = F.col("met")
+    ahead, back = F.coalesce(hit, F.col("s") < F.col("t")), F.coalesce(hit, F.col("s") > F.col("t"))
+    pair = e.select(F.least("s", "t").alias("key_a"), F.greatest("s", "t").alias("key_b"), ahead.alias("ahead"), back.alias("back"))
+    return pair.groupBy("key_a", "key_b").agg(F.max("ahead").alias("ahead"), F.max("back").alias("back")).where("ahead and back").select("key_a", "key_b")
+
+
+def _tagged(e: DataFrame, keys: DataFrame) -> DataFrame:
+    """e with h and o (the end that is in keys (k, small) and the other one; null where none is), out (h is the source) and small."""
+    end = lambda c: keys.select(F.col("k").alias(c), F.col("small").alias(f"small_{c}"))
+    both = e.join(end("s"), "s", "left").join(end("t"), "t", "left")
+    out = F.when(F.expr("small_s is not null and (small_t is null or s < t)"), True).when(F.expr("small_t is not null"), False)
+    pick = lambda a, b: F.when(F.col("out"), F.col(a)).when(~F.col("out"), F.col(b))
+    return both.withColumn("out", out).select("s", "t", "out", pick("s", "t").alias("h"), pick("t", "s").alias("o"), pick("small_s", "small_t").alias("small"))
 
 
 def partner_counts(links: DataFrame, *, source: str = "source", target: str = "target") -> DataFrame:
