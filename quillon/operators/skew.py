@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import tidy_name
+from quillon.runtime import cut, tidy_name
 
 HEAVY_SHARE = 1 / 1000
-SKETCH_ITEMS = 100_000
-BROADCAST_BYTES = 8 << 20
+SKETCH_ITEMS = 10_000
+BROADCAST_BYTES = 2 << 20
 ROW_BYTES = 48  # of a broadcast pair of keys, besides their letters
 
 
@@ -21,16 +23,22 @@ def tidy_links(links: DataFrame, source: str = "source", target: str = "target")
 def heavy_keys(links: DataFrame, *, source: str = "source", target: str = "target", share: float = HEAVY_SHARE, sketch_items: int = SKETCH_ITEMS) -> dict[str, tuple[int, int]]:
     """Keys that hold at least about `share` of the links at one of their ends: key -> (links from it, links to it).
 
-    One pass with two frequent-item sketches of at most `sketch_items` keys each, which are merged without moving
-    rows. At most 2 / share keys can come out, so they may be broadcast whatever the size of the data. The numbers
+    One pass with two frequent-item sketches of at most `sketch_items` keys each, which are merged in two steps
+    without moving rows. At most 2 / share keys can come out, so they may be broadcast whatever the size of the data. The numbers
     are estimates; a key missed or added only changes which of two equivalent ways its rows go.
     """
     k = int(1 / share)
-    top = lambda c: F.expr(f"approx_top_k({c}, {k}, {max(sketch_items, 3 * k)})").alias(c)
-    got = tidy_links(links, source, target).where("s != t").agg(F.count(F.lit(1)).alias("n"), top("s"), top("t")).first()
+    items = max(sketch_items, 3 * k)
+    e = tidy_links(links, source, target).where("s != t")
+    groups = max(1, math.isqrt(e.rdd.getNumPartitions()))  # sketches are merged in two steps, so that no task reads those of all others
+    part = cut(e.groupBy(F.pmod(F.spark_partition_id(), F.lit(groups))).agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"approx_top_k_accumulate({c}, {items})").alias(c) for c in "st")))
+    if part.isEmpty():
+        return {}
+    state = part.agg(F.sum("n").alias("n"), *(F.expr(f"approx_top_k_combine({c}, {items})").alias(c) for c in "st"))
+    got = state.select(F.coalesce("n", F.lit(0)).alias("n"), *(F.expr(f"approx_top_k_estimate({c}, {k})").alias(c) for c in "st")).first()
     ends = [{r["item"]: r["count"] for r in got[end] or []} for end in ("s", "t")]
     # a key that isn't listed at an end has at most as many links there as the last one listed, or as the sketch may miss
-    rest = [max(min(e.values()) if len(e) == k else 0, -(-4 * got["n"] // max(sketch_items, 3 * k))) for e in ends]
+    rest = [max(min(e.values()) if len(e) == k else 0, -(-4 * got["n"] // items)) for e in ends]
     least = max(2.0, share * got["n"])
     return {x: (ends[0].get(x, rest[0]), ends[1].get(x, rest[1])) for x in sorted({x for e in ends for x, n in e.items() if n >= least})}
 
