@@ -42,7 +42,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return langid.languages(load(spark, d, "documents")).where("label is null or label != lang").select("doc_id", "lang")
+    return langid.languages(load(spark, d, "documents")).where("sentences > 0 and (label is null or label != lang)").select("doc_id", "lang")
 
 
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:

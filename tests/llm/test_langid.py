@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
-from quillon.llm.langid import label_code, languages, repaired, sentences
+from quillon.llm import langid
+from quillon.llm.langid import label_code, languages, letters, repaired, sentences
 
 PHRASES = {
     "en": ["The gateway has lost the list of open links.", "Please check the oldest segment before you restart the node.", "We saw that nobody noticed the missing batch."],
@@ -44,11 +46,14 @@ def test_accuracy_on_held_out_and_wrong_labels(found):
     got = {}
     for r in rows:
         got.setdefault(r.doc_id, set()).add(r.lang)
-        assert 0 <= r.confidence <= 1 and 0 < r.share <= 1
+        assert 0 <= r.confidence <= 1 and (0 < r.share <= 1 or r.lang is None)
     truth = [c for c, _ in train_rows()]
     assert sum(got[i] == {truth[i]} for i in range(n)) / n > 0.99
     assert got[10_000] == {"en", "fr", "zh"} and got[10_001] == {"es"} and got[10_002] == {"de"} and got[10_003] == {"fr"} and got[10_008] == {"ru"}
-    assert not {10_004, 10_005, 10_006, 10_007, 10_009} & set(got)
+    assert len(got) == n + 10  # every document has a row
+    rest = {r.doc_id: r for r in rows if r.doc_id in (10_004, 10_005, 10_006, 10_007, 10_009)}
+    assert all(r.sentences == 0 for r in rest.values()) and {k for k, r in rest.items() if r.lang is None} == {10_005, 10_006, 10_007, 10_009}
+    assert all(r.confidence == 0 for r in rest.values() if r.lang is None)
 
 
 def test_segments(spark):
@@ -66,11 +71,37 @@ def test_labels(spark):
 
 def test_pieces():
     assert repaired("perdiÃ³ Ã¡rea") == "perdió área" and repaired("naïve Ãb") == "naïve Ãb"
-    assert sentences("One two three four. v1.2.3\nx = 3.5;\nToo short.") == ["One two three four."]
+    assert sentences("One two three four. v1.2.3\nx = 3.5;\nIt ran on.\nNo.") == [" one two three four ", " it ran on "]
+    assert sentences("Das ist gut.") == [" das ist gut "]
+    assert sentences("Wir haben den fehlenden\nStapel nicht bemerkt,\nund niemand fragte danach.\nSELECT 1;\nEnde gut.") == [" wir haben den fehlenden stapel nicht bemerkt und niemand fragte danach ", " ende gut "]
+    assert sentences("网关丢掉了所有\n待处理的链接。") == [" 网关丢掉了所有待处理的链接 "]
+    assert letters("We saw (a rather long remark in brackets, which goes on and on and on and on and on) nothing.") == " we saw nothing "
+    assert letters("(Wir sahen nichts.)") == " wir sahen nichts "
+
+
+def test_short_wrapped_and_unmarked(spark):
+    p = PHRASES
+    df, _ = frame(spark, [("Wir haben gesehen, dass\nniemand den fehlenden Stapel bemerkt hat.", None), ("Please check the oldest segment before you restart the node", None), ("We saw that.", None)])
+    got = {r.doc_id: (r.lang, r.sentences) for r in languages(df).where("doc_id >= 10000").collect()}
+    assert got == {10_000: ("de", 1), 10_001: ("en", 0), 10_002: ("en", 1)}
+
+
+def test_table_of_grams_is_bounded(monkeypatch):
+    monkeypatch.setattr(langid, "KNOWN_GRAMS", 50)
+    protos = np.random.default_rng(1).normal(size=(8, 64)).astype(np.float32)
+    one = langid.Profiles(protos, np.zeros(0, np.int64), np.zeros((0, 8), np.float32))
+    texts = [f" {a}{b}{c} " for a in "abcdef" for b in "ghijkl" for c in "mno"]
+    every = one.products(texts)
+    parts = np.concatenate([one.products(texts[k : k + 7]) for k in range(0, len(texts), 7)])
+    assert len(one.grams.codes) <= 50 and np.allclose(every, parts, rtol=1e-4, atol=1e-3)
+    codes, owner = langid.gram_codes(texts)
+    want = np.zeros((len(texts), 8))
+    np.add.at(want, owner, langid.gram_vectors(codes, 64, {}).astype(float) @ protos.T)
+    assert np.allclose(every, want, rtol=1e-4, atol=1e-3)
 
 
 def test_empty(spark):
     df, _ = frame(spark, [])
     assert languages(df.limit(0)).count() == 0
     unlabelled = spark.createDataFrame([(1, "Some text without any label here.", None, "", 1, 1)], S)
-    assert languages(unlabelled).count() == 0  # nothing to learn from
+    assert [(r.lang, r.sentences, r.confidence) for r in languages(unlabelled).collect()] == [(None, 0, 0.0)]  # nothing to learn from
