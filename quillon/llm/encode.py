@@ -19,14 +19,18 @@ from quillon.runtime import spread
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Fixed value: the published pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: the vocabularies that are split by this pattern.
+BYTE_LEVEL = ("byte_bpe_50k", "byte_bpe_multi_50k")
 CHUNK = 32_768
 OVERLAP = 1_024
 
 
 class Tokenizer:
-    """Byte-level BPE from a rank file, built once in every Python worker."""
+    """Byte-level BPE from a rank file, built once in every Python worker. Vocabularies of another kind raise."""
 
     def __init__(self, spark: SparkSession, name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR):
+        if name not in BYTE_LEVEL:
+            raise ValueError(f"{name} isn't split by the pattern known here; known: {', '.join(BYTE_LEVEL)}")
         with open(os.path.join(tokenizer_dir, f"{name}.tiktoken"), "rb") as f:
             self.name, self.ranks = name, spark.sparkContext.broadcast(f.read())
 
@@ -140,14 +144,20 @@ def token_ids(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", to
     return short.union(long.select("doc", F.flatten("ps.ids")))
 
 
-def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, tokens): the number of token ids of every text; rules as in token_ids."""
+def token_counts(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR,
+    chunk: int = CHUNK, overlap: int = OVERLAP,
+) -> DataFrame:
+    """(doc_id, the columns `keep`, tokens): the number of token ids of every text; rules as in token_ids."""
     count = _count(Tokenizer(docs.sparkSession, tokenizer, tokenizer_dir))
-    docs = spread(docs.select(doc_id, text), doc_id)
-    cond = f"{text} is null or length({text}) <= {chunk}"
-    short = docs.where(cond).select(F.col(doc_id).alias("doc_id"), count(F.coalesce(text, F.lit(""))).alias("tokens"))
-    long = text_pieces(docs.where(f"length({text}) > {chunk}"), doc_id=doc_id, text=text, chunk=chunk, overlap=overlap)
-    return short.union(long.select("doc", count("piece").alias("n")).groupBy("doc").agg(F.sum("n")))
+    docs = spread(docs.select(doc_id, text, *keep), doc_id)
+    short = docs.where(f"{text} is null or length({text}) <= {chunk}").select(F.col(doc_id).alias("doc_id"), *keep, count(F.coalesce(text, F.lit(""))).alias("tokens"))
+    long = docs.where(f"length({text}) > {chunk}")
+    pieces = text_pieces(long, doc_id=doc_id, text=text, chunk=chunk, overlap=overlap)
+    sums = pieces.select(F.col("doc").alias("doc_id"), count("piece").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("tokens"))
+    if keep:
+        sums = sums.join(long.select(F.col(doc_id).alias("doc_id"), *keep), "doc_id")
+    return short.union(sums.select("doc_id", *keep, "tokens"))
 
 
 def decoded(encoded: DataFrame, *, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:

@@ -99,11 +99,11 @@ def mixed(
     rows of one name add up their shares. Targets without any token are ignored and the other shares scaled up
     to one. doc_id must be unique. Empty tables give no rows; other columns are ignored.
     """
-    counts = token_counts(docs, doc_id=doc_id, text=text, tokenizer=tokenizer, tokenizer_dir=tokenizer_dir)
     t = targets.select(source_name("source_name").alias("source"), "target_share", "max_repeats").where("source is not null and target_share > 0 and max_repeats >= 1 and not isnan(target_share)")
     t = t.groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("most"))
-    named = docs.select(F.col(doc_id).alias("doc_id"), source_name(source).alias("source")).join(t.select("source"), "source", "left_semi")
-    base = cut(named.join(counts.where("tokens > 0"), "doc_id").select("doc_id", "source", "tokens"))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), source_name(source).alias("source")).join(t.select("source"), "source", "left_semi")
+    counts = token_counts(named, keep=("source",), tokenizer=tokenizer, tokenizer_dir=tokenizer_dir)
+    base = cut(counts.where("tokens > 0").select("doc_id", "source", "tokens"))
     rows = base.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).join(t, "source").collect()  # one row per target
     if not rows:
         return base.select("doc_id", "source", "tokens", F.lit(0).cast("long").alias("repeats"))

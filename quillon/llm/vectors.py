@@ -5,7 +5,8 @@ A cell is a pair of centroids. Every vector is filed under its cell, and a vecto
 taken from a heap in the order of summed distance, whose entries are then measured exactly.
 
 What the driver holds: the index list (one row per index, a catalogue), at most about SAMPLE_ROWS vectors per
-index, and the codebooks (2 * MAX_CENTROIDS half vectors per index at most).
+index, the codebooks (2 * MAX_CENTROIDS half vectors per index at most) and, for most_similar, the size of every
+cell (at most FINE_CENTROIDS ** 2 numbers per index).
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.runtime import cut
+
 SAMPLE_ROWS = 4096
 CELL_ROWS = 2048
 BLOCK_ROWS = 8192
 MAX_CENTROIDS = 128
+FINE_CENTROIDS = 256
+FINE_ROWS = 16
+RECALL = 0.95
 FILED = "idx int, cell int, i int, j int, role int, n int, ids binary, vecs binary"
 
 
@@ -63,29 +69,55 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def fit(vectors: DataFrame, indexes: list[dict], *, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS) -> dict[int, dict]:
-    """Codebooks by index from a sample of about `sample_rows` vectors each, with the expected size of every cell."""
+def fit(vectors: DataFrame, indexes: list[dict], *, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS, most: int = MAX_CENTROIDS, k: int = 0, recall: float = RECALL) -> dict[int, dict]:
+    """Codebooks by index from a sample of about `sample_rows` vectors each, with the expected size of every cell.
+
+    With `k`, also the share of an index that must be visited for a recall of `recall` at k (see _share).
+    """
     counts = {r["idx"]: r["count"] for r in vectors.groupBy("idx").count().collect()}
     if not counts:
         return {}
     sample = vectors.sampleBy("idx", {k: min(1.0, sample_rows / n) for k, n in counts.items()}, seed=7).toPandas()
-    books = {}
+    books, k_near = {}, k
     for k, n in counts.items():
         own = [v for i, v in zip(sample["idx"], sample["vec"]) if i == k]
         if not own:
             own = [vectors.where(F.col("idx") == k).first()["vec"]]
         x = _units(np.asarray(own, np.float32), indexes[k]["metric"] == "cosine")
         half = max(1, x.shape[1] // 2)
-        want = int(np.clip(round(np.sqrt(n / cell_rows)), 1, MAX_CENTROIDS))
+        want = int(np.clip(round(np.sqrt(n / cell_rows)), 1, most))
         books[k] = {"half": half, "cosine": indexes[k]["metric"] == "cosine", "near": indexes[k]["near_distance"], "n": n}
         parts = [x[:, :half], x[:, half:]]
         books[k]["books"] = [_kmeans(p, min(want, len(np.unique(p, axis=0)))) for p in parts]
         a, b = (((c**2).sum(1)[None] - 2 * p @ c.T).argmin(1) for p, c in zip(parts, books[k]["books"]))
         k1, k2 = (len(c) for c in books[k]["books"])
         books[k]["size"] = np.bincount(a * k2 + b, minlength=k1 * k2) * (n / len(x))
+        if k_near:
+            books[k]["share"] = _share(x, books[k], k_near, recall)
     return books
 
 
+def _share(x: np.ndarray, book: dict, k: int, recall: float, queries: int = 400) -> float:
+    """Share of the sample that must be visited, in the order of summed centroid distances, to meet `recall` of the k
+    nearest of some sampled queries.
+
+    In the whole collection the k nearest are nearer than in a sample of it, so that there the same share finds no less.
+    """
+    q = x[:: max(1, len(x) // queries)]
+    at = np.arange(0, len(x), max(1, len(x) // queries))
+    c1, c2 = book["books"]
+    (a1, q1), (a2, q2) = ((_square_distances(v, c), _square_distances(w, c)) for v, w, c in ((x[:, : book["half"]], q[:, : book["half"]], c1), (x[:, book["half"] :], q[:, book["half"] :], c2)))
+    true, cells = _square_distances(q, x), q1[:, a1.argmin(1)] + q2[:, a2.argmin(1)]
+    true[np.arange(len(q)), at] = np.inf
+    m = min(k, len(x) - 1)
+    if m < 1:
+        return 1.0
+    near = np.argpartition(true, m - 1, axis=1)[:, :m]
+    far = np.take_along_axis(cells, near, 1)
+    visited = np.stack([np.searchsorted(np.sort(row), f, side="right") for row, f in zip(cells, far)]) / len(x)
+    return float(min(1.0, np.quantile(visited, recall) + 1 / len(x)))
+
+
 def by_sum(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[float, int, int]]:
     """(sum, a, b) over all pairs of entries of two lists, smallest sum first."""
     o1, o2 = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
@@ -239,73 +271,118 @@ def _exact(p: np.ndarray, q: np.ndarray, cosine: bool) -> np.ndarray:
     return 1 - (p * q).sum(1) / (np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1))
 
 
-def most_similar(specs: DataFrame, meta: DataFrame, *, k: int = 10, every: int = 20, share: float = 0.4, least: int = 5000, sample_rows: int = SAMPLE_ROWS, cell_rows: int = CELL_ROWS // 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _bins(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbouring cells go into bins of some block_rows vectors: first bin and number of bins of each cell.
+
+    A cell of more than block_rows vectors has bins of its own, over which its vectors are spread.
+    """
+    many = np.maximum(1, -(-sizes // block_rows))
+    first, at, filled = np.zeros(len(sizes), np.int64), 0, 0
+    for c, (n, own) in enumerate(zip(sizes.tolist(), many.tolist())):
+        if own > 1 or filled + n > block_rows:
+            at, filled = at + (filled > 0), 0
+        first[c] = at
+        at, filled = (at + own, 0) if own > 1 else (at, filled + n)
+    return first, many
+
+
+def most_similar(
+    specs: DataFrame, meta: DataFrame, *, k: int = 10, every: int = 20, recall: float = RECALL, share: float | None = None,
+    sample_rows: int = SAMPLE_ROWS, cell_rows: int = FINE_ROWS, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
     """(id, rank, other, distance): the k most similar other vectors of the same index for each query vector.
 
     Queries are the usable vectors whose id is divisible by `every`; all usable vectors are searched. A query
-    visits cells in the order of summed centroid distances, from a heap, until the cells are expected to hold
-    max(least, share of the index) vectors; those are measured exactly. `share` trades time for recall: data
-    without clusters need 0.4 for a recall of 0.9 at k = 10 (0.914 over some 94,000 vectors), clustered data far less.
+    visits cells in the order of summed centroid distances, from a heap, until they hold `share` of the index's vectors;
+    the entries of these cells are measured exactly. Without `share` it is found for each index from a sample, as
+    the share that gives a recall of `recall` there (see _share); share=1 visits every cell and is exact.
+    Cells are small (some `cell_rows` vectors), so that their order says much; they are kept in bins of some
+    `block_rows` vectors, and a query goes to every bin with a cell that it visits, once, with the largest summed distance it
+    visits. Cell sizes are counted over all vectors, so no bin holds more than planned, however large a cell is.
     Equal distances are ranked by id. Rules for vectors, repeats and empty tables: near_pairs.
     """
     vectors, indexes = usable_vectors(specs, meta)
-    shared = specs.sparkSession.sparkContext.broadcast(fit(vectors, indexes, sample_rows=sample_rows, cell_rows=cell_rows))
+    context = specs.sparkSession.sparkContext
+    books = fit(vectors, indexes, sample_rows=sample_rows, cell_rows=cell_rows, most=FINE_CENTROIDS, k=k, recall=recall)
+    shared = context.broadcast(books)
 
-    def file(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for idx, ids, raw in _batches(parts):
             book = shared.value[idx]
             x, (c1, c2) = _units(raw, book["cosine"]), book["books"]
-            d1, d2 = _square_distances(x[:, : book["half"]], c1), _square_distances(x[:, book["half"] :], c2)
-            home, out = d1.argmin(1) * len(c2) + d2.argmin(1), []
-            blocks = np.maximum(1, np.ceil(book["size"] / block_rows)).astype(int)
-            for cell, part in _members(home):
-                for h, sub in _members(ids[part] % int(blocks[cell])):
-                    out.append(_pack(idx, cell, 0, h, 2, ids[part[sub]], raw[part[sub]]))
-            want, guests = max(least, share * book["n"]), {}
-            for r in np.flatnonzero(ids % every == 0):
-                seen = 0.0
-                for _, i, j in by_sum(d1[r], d2[r]):
-                    cell = i * len(c2) + j
-                    guests.setdefault(cell, []).append(r)
-                    seen += book["size"][cell]
-                    if seen >= want:
-                        break
-            for cell, rows in guests.items():
-                part = np.array(rows)
-                out += [_pack(idx, cell, 0, j, 1, ids[part], raw[part]) for j in range(int(blocks[cell]))]
-            yield _frame(out)
+            cell = _square_distances(x[:, : book["half"]], c1).argmin(1) * len(c2) + _square_distances(x[:, book["half"] :], c2).argmin(1)
+            yield pd.DataFrame({"idx": np.int32(idx), "id": ids, "cell": cell.astype(np.int32), "vec": [v.tobytes() for v in raw.astype("<f4")]})
+
+    placed = cut(vectors.mapInPandas(place, "idx int, id long, cell int, vec binary"))  # counted first, then filed
+    plans = {idx: np.zeros(len(b["size"]), np.int64) for idx, b in books.items()}
+    for r in placed.groupBy("idx", "cell").count().collect():  # at most FINE_CENTROIDS ** 2 cells an index
+        plans[r["idx"]][r["cell"]] = r["count"]
+    bins = context.broadcast({idx: (sizes, *_bins(sizes, block_rows)) for idx, sizes in plans.items()})
+
+    def file(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            out = []
+            for idx, own in d.groupby("idx", sort=False):
+                book, (sizes, first, many) = shared.value[int(idx)], bins.value[int(idx)]
+                ids, cell, raw = own["id"].to_numpy(np.int64), own["cell"].to_numpy(np.int64), np.frombuffer(b"".join(own["vec"]), "<f4").reshape(len(own), -1)
+                for b, part in _members(first[cell] + ids % many[cell]):
+                    out.append((idx, b, 2, ids[part].tobytes(), raw[part].tobytes(), cell[part].tobytes()))
+                most_of = dict(zip(first.tolist(), many.tolist()))
+                ask = np.flatnonzero(ids % every == 0)
+                if not len(ask):
+                    continue
+                x, (c1, c2) = _units(raw[ask], book["cosine"]), book["books"]
+                d1, d2 = _square_distances(x[:, : book["half"]], c1), _square_distances(x[:, book["half"] :], c2)
+                want, guests, reach = (share or book["share"]) * sizes.sum(), {}, np.full(len(ask), np.inf)
+                for q in range(len(ask)):
+                    seen = 0
+                    if want < sizes.sum():
+                        for total, i, j in by_sum(d1[q], d2[q]):
+                            seen += sizes[i * len(c2) + j]
+                            if seen >= want:
+                                reach[q] = total * (1 + 1e-6)
+                                break
+                    cells = np.flatnonzero(((d1[q][:, None] + d2[q][None]).ravel() <= reach[q]) & (sizes > 0))
+                    for b in {b for c in np.unique(first[cells]) for b in range(c, c + most_of[c])}:
+                        guests.setdefault(int(b), []).append(q)
+                for b, rows in guests.items():
+                    part = np.array(rows)
+                    out.append((idx, b, 1, ids[ask[part]].tobytes(), raw[ask[part]].tobytes(), reach[part].tobytes()))
+            yield pd.DataFrame(out, columns=["idx", "bin", "role", "ids", "vecs", "more"])
 
     def match(d: pd.DataFrame) -> pd.DataFrame:
         book = shared.value[int(d["idx"].iloc[0])]
-        dim = book["half"] + book["books"][1].shape[1]
-        sides = []
-        for role in (1, 2):
+        (c1, c2), half, sides = book["books"], book["half"], []
+        for role, kind in ((1, "<f8"), (2, "<i8")):
             own = d[d["role"] == role]
             ids = np.frombuffer(b"".join(own["ids"]), "<i8")
-            _, first = np.unique(ids, return_index=True)
-            sides.append((ids[first], np.frombuffer(b"".join(own["vecs"]), "<f4").reshape(-1, dim)[first]))
-        (pi, px), (bi, bx) = sides
+            _, one = np.unique(ids, return_index=True)
+            sides.append((ids[one], np.frombuffer(b"".join(own["vecs"]), "<f4").reshape(-1, half + c2.shape[1])[one], np.frombuffer(b"".join(own["more"]), kind)[one]))
+        (pi, px, reach), (bi, bx, cell) = sides
         got = []
         if len(pi) and len(bi):
-            bu = _units(bx, book["cosine"])
-            bsq = (bu**2).sum(1)
-            m = min(len(bi), k + 8)  # some more than k, as single precision may swap near ties
-            for s in range(0, len(pi), 512):
-                pu = _units(px[s : s + 512], book["cosine"])
-                dist = (pu**2).sum(1)[:, None] + bsq[None] - 2 * pu @ bu.T
-                y = np.argpartition(dist, m - 1, axis=1)[:, :m] if m < len(bi) else np.tile(np.arange(m), (len(pu), 1))
-                x = np.repeat(np.arange(len(pu)), m) + s
-                y = y.ravel()
-                keep = pi[x] != bi[y]
-                x, y = x[keep], y[keep]
+            pu, bu = _units(px, book["cosine"]), _units(bx, book["cosine"])
+            bsq, (ci, cj) = (bu**2).sum(1), np.divmod(cell, len(c2))
+            d1, d2 = _square_distances(pu[:, :half], c1), _square_distances(pu[:, half:], c2)
+            order = np.argsort(d1.argmin(1) * len(c2) + d2.argmin(1), kind="stable")  # queries of one cell visit much the same
+            for s in range(0, len(pi), 256):
+                q = order[s : s + 256]
+                visits = d1[q][:, ci] + d2[q][:, cj] <= reach[q][:, None]
+                some = np.flatnonzero(visits.any(0))
+                dist = (pu[q] ** 2).sum(1)[:, None] + bsq[some][None] - 2 * pu[q] @ bu[some].T
+                dist[~visits[:, some] | (pi[q][:, None] == bi[some][None])] = np.inf
+                m = min(len(some), k + 8)  # some more than k, as single precision may swap near ties
+                y = np.argpartition(dist, m - 1, axis=1)[:, :m] if m < len(some) else np.tile(np.arange(m), (len(q), 1))
+                x, at = np.nonzero(np.isfinite(np.take_along_axis(dist, y, 1)))
+                x, y = q[x], some[y[x, at]]
                 dd = _exact(px[x].astype(np.float64), bx[y].astype(np.float64), book["cosine"])
                 o = np.lexsort((bi[y], dd, x))
                 x, y, dd = x[o], y[o], dd[o]
-                place = np.arange(len(x)) - np.searchsorted(x, x)
-                top = place < k
+                top = np.arange(len(x)) - np.searchsorted(x, x) < k
                 got.append(pd.DataFrame({"id": pi[x][top], "other": bi[y][top], "distance": dd[top]}))
         return pd.concat(got) if got else pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "distance": np.zeros(0)})
 
-    best = vectors.mapInPandas(file, FILED).groupBy("idx", "cell", "i", "j").applyInPandas(match, "id long, other long, distance double")
-    w = Window.partitionBy("id").orderBy("distance", "other")  # at most k rows per visited cell and block
+    filed = placed.mapInPandas(file, "idx int, bin long, role int, ids binary, vecs binary, more binary")
+    best = filed.groupBy("idx", "bin").applyInPandas(match, "id long, other long, distance double")
+    w = Window.partitionBy("id").orderBy("distance", "other")  # at most k rows per visited bin
     return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("id", "rank", "other", "distance")

@@ -61,3 +61,8 @@ def test_empty(spark):
     df = spark.createDataFrame([], S)
     assert token_ids(df).count() == token_counts(df).count() == 0
     assert tiktoken is not None
+
+
+def test_other_kinds_of_vocabulary_are_refused(spark):
+    with pytest.raises(ValueError):
+        token_ids(spark.createDataFrame([(1, "a")], "doc_id long, text string"), tokenizer="word_bpe_49k")
