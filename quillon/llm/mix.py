@@ -13,6 +13,7 @@ from quillon.runtime import cut, tidy_name
 BLOCK_ROWS = 20_000
 SEED = 20_250_301
 EPS = 1e-9
+RESERVE = 256  # documents a block that stay undecided until the last round
 
 
 def source_name(col: str | Column) -> Column:
@@ -67,14 +68,42 @@ def land(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return p
 
 
-def _flights(last: bool):
+def settle(p: np.ndarray, tokens: np.ndarray, want: float) -> np.ndarray:
+    """After landing: documents are taken in or left out, largest fitting one first, until no other one brings the tokens closer to `want`.
+
+    A large document tends to stay undecided to the end of a flight, as little of it outweighs many small ones;
+    what its rounding misses is made good by a few others.
+    """
+    p, miss = p.copy(), want - float((p * tokens).sum())
+    side = p < 0.5 if miss > 0 else p > 0.5
+    at = np.flatnonzero(side)
+    at = at[np.argsort(tokens[at], kind="stable")]
+    free, miss, sign = tokens[at].tolist(), abs(miss), miss > 0
+    while free:
+        k = int(np.searchsorted(free, miss, side="right")) - 1
+        if k < 0:
+            if 2 * miss > free[0]:
+                p[at[0]] = 1.0 if sign else 0.0
+            break
+        p[at[k]] = 1.0 if sign else 0.0
+        miss -= free.pop(k)
+        at = np.delete(at, k)
+    return p
+
+
+def _flights(last: bool, reserve: int = RESERVE):
     def run(d: pd.DataFrame) -> pd.DataFrame:
         # the largest documents first, so that what is left undecided is small
         d = d.sort_values(["tokens", "doc_id"], ascending=[False, True]).reset_index(drop=True)
         rng = np.random.default_rng([SEED, int(last), len(d), int(d["doc_id"].iloc[0]) & 0xFFFFFFFF])
-        t = d["tokens"].to_numpy(np.int64)
-        p = flight(d["p"].to_numpy(float), t, rng)
-        return d.assign(p=land(p, t) if last else p)
+        t, p = d["tokens"].to_numpy(np.int64), d["p"].to_numpy(float).copy()
+        if last:
+            done = flight(p, t, rng)
+            return d.assign(p=settle(land(done, t), t, float((p * t).sum())) if ((p > EPS) & (p < 1 - EPS)).any() else done)
+        kept = np.zeros(len(d), bool)  # of all sizes
+        kept[np.unique(np.linspace(0, len(d) - 1, min(len(d), reserve)).astype(int))] = True
+        p[~kept] = flight(p[~kept], t[~kept], rng)
+        return d.assign(p=p)
 
     return run
 
@@ -90,8 +119,9 @@ def mixed(
     documents. Each document is taken for every whole pass, and the rest of a pass is a balanced sample by the
     cube method: equal fractional inclusion probabilities move through the null space of the constraints (number
     of documents and number of tokens of the source stay as expected) in blocks of some `block_rows` documents,
-    however large the source. The at most two undecided documents of each block meet in further rounds of the
-    same, and at most two per source are decided by the choice that misses the source's tokens least.
+    however large the source. At most two documents of each block and RESERVE of all sizes stay undecided and meet
+    in further rounds of the same; in the last one at most two per source are decided by the choice that misses the
+    source's tokens least, and a few others make good what is still missed (see settle).
 
     Source names are compared in lower case, without surrounding blanks, with "_" for blanks and hyphens.
     Documents of no target source, and those without tokens (null and empty texts), are left out: they can't add
@@ -118,15 +148,13 @@ def mixed(
     p = base.join(F.broadcast(spark.createDataFrame(plan, "source string, whole int, p double, blocks int")), "source")
     state = p.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).select("source", "block", "doc_id", "tokens", "p")
     schema = "source string, block long, doc_id long, tokens long, p double"
-    state = cut(state.groupBy("source", "block").applyInPandas(_flights(False), schema))
-    open_ = f"p > {EPS} and p < {1 - EPS}"
-    decided, left = [state.where(f"not ({open_})")], state.where(open_)
-    largest = max([b for *_, b in plan])
-    while largest * 2 > block_rows:  # only for a source of more than block_rows ** 2 / 2 documents
-        largest = -(-largest * 2 // block_rows)
-        left = cut(left.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(largest))).groupBy("source", "block").applyInPandas(_flights(False), schema))
-        decided.append(left.where(f"not ({open_})"))
-        left = left.where(open_)
+    open_, decided, left, largest = f"p > {EPS} and p < {1 - EPS}", [], state, max(r["n"] for r in rows)
+    reserve = min(RESERVE, block_rows // 8)
+    while largest > block_rows:  # the largest number of undecided documents of a source
+        done = cut(left.groupBy("source", "block").applyInPandas(_flights(False, reserve), schema))
+        decided.append(done.where(f"not ({open_})"))
+        largest = -(-largest // block_rows) * (reserve + 2)
+        left = done.where(open_).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(largest)), F.lit(-(-largest // block_rows))))
     decided.append(left.withColumn("block", F.lit(0).cast("long")).groupBy("source").applyInPandas(_flights(True), schema))
     chosen = decided[0]
     for x in decided[1:]:
