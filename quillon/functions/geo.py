@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_M = 6_371_000.0
@@ -78,6 +79,25 @@ def geohash_text(lon: float, lat: float, length: int = 8) -> str:
     return "".join(out)
 
 
+def in_geohash(df: DataFrame, prefix: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Rows whose geohash begins with a prefix, that is whose position lies in its cell; the cell's box reaches the scan as a filter first."""
+    lo_lon, lo_lat, hi_lon, hi_lat = geohash_bounds(prefix)
+    return df.where(in_box(F.col(lon), F.col(lat), lo_lon, lo_lat, hi_lon, hi_lat)).where(geohash(F.col(lon), F.col(lat), len(prefix)) == prefix)
+
+
+def geohash_within(df: DataFrame, x: float, y: float, metres: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Rows within some metres of a place: those in the cell of the place or one beside it, cells being larger than the radius, measured exactly.
+
+    Near a pole and for radii beyond a twentieth of the globe all rows are measured.
+    """
+    wide = metres / 111_000.0 / max(math.cos(math.radians(min(89.9, abs(y) + metres / 111_000.0))), 1e-6)
+    length = next((n for n in range(8, 0, -1) if 360 / (1 << ((5 * n + 1) // 2)) > wide * 1.01 and 180 / (1 << (5 * n // 2)) > metres / 110_000.0), 0)
+    if length and abs(y) + metres / 110_000.0 < 85:
+        home = geohash_text(x, y, length)
+        df = df.where(geohash(F.col(lon), F.col(lat), length).isin([home, *geohash_neighbours(home)]))
+    return df.where(haversine(F.col(lon), F.col(lat), F.lit(x), F.lit(y)) <= metres)
+
+
 def geohash_neighbours(h: str) -> list[str]:
     """The up to eight cells round a cell; longitudes wrap, cells beyond a pole are left out."""
     lo_lon, lo_lat, hi_lon, hi_lat = geohash_bounds(h)

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.runtime import cut
@@ -34,11 +35,11 @@ def steps(edges: DataFrame, direction: str = "out", label: str | None = None) ->
     e = as_edges(edges)
     e = e if label is None else e.where(F.col("label") == label)
     out, in_ = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return {"out": out, "in": in_, "both": out.union(in_)}[direction].distinct()
+    return {"out": out, "in": in_, "both": out.union(in_)}[direction]
 
 
 def neighbours(edges: DataFrame, vertex: str, direction: str = "out", label: str | None = None) -> DataFrame:
-    return steps(edges, direction, label).where(F.col("a") == vertex).select(F.col("b").alias("vertex"))
+    return steps(edges, direction, label).where(F.col("a") == vertex).select(F.col("b").alias("vertex")).distinct()
 
 
 def bfs(edges: DataFrame, start: str, *, depth: int = 3, direction: str = "out", label: str | None = None, where: str | None = None, vertices: DataFrame | None = None, prune: bool = True) -> DataFrame:
@@ -49,12 +50,12 @@ def bfs(edges: DataFrame, start: str, *, depth: int = 3, direction: str = "out",
     """
     spark, move = edges.sparkSession, steps(edges, direction, label)
     ok = None if where is None else (vertices if vertices is not None else move.select(F.col("b").alias("id")).distinct()).where(where).select(F.col("id").alias("b"))
-    if ok is not None and prune:
-        move = move.join(ok, "b", "left_semi")
     seen = spark.createDataFrame([(start, 0)], "vertex string, depth int")
     front = seen
     for d in range(1, depth + 1):
         nxt = move.join(front.select(F.col("vertex").alias("a")), "a", "left_semi").select(F.col("b").alias("vertex")).distinct()
+        if ok is not None and prune:  # only what the frontier reaches is held against the condition
+            nxt = nxt.join(ok.withColumnRenamed("b", "vertex"), "vertex", "left_semi") if vertices is not None else nxt.withColumnRenamed("vertex", "id").where(where).withColumnRenamed("id", "vertex")
         front = cut(nxt.join(seen, "vertex", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
@@ -65,21 +66,70 @@ def bfs(edges: DataFrame, start: str, *, depth: int = 3, direction: str = "out",
     return out
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, *, max_depth: int = 10, direction: str = "out") -> DataFrame:
-    """(path, length): one shortest path from a to b, the smallest in string order; no row without one, or where a is b."""
+def bfs_paths(edges: DataFrame, start: str, *, depth: int = 3, direction: str = "out", label: str | None = None) -> DataFrame:
+    """(vertex, depth, path): vertices reached within `depth` steps with one shortest path each, the smallest in string order."""
+    move, spark = steps(edges, direction, label), edges.sparkSession
+    front = spark.createDataFrame([(start, [start])], "vertex string, path array<string>")
+    parts = [front]
+    for _ in range(depth):
+        nxt = move.join(front.withColumnRenamed("vertex", "a"), "a").select(F.col("b").alias("vertex"), F.concat("path", F.array("b")).alias("path"))
+        seen = reduce(DataFrame.union, [p.select("vertex") for p in parts])
+        front = cut(nxt.groupBy("vertex").agg(F.min("path").alias("path")).join(seen, "vertex", "left_anti"))
+        if front.isEmpty():
+            break
+        parts.append(front)
+    return reduce(DataFrame.union, parts).where(F.size("path") > 1).select("vertex", (F.size("path") - 1).alias("depth"), "path")
+
+
+def dfs(edges: DataFrame, start: str, *, depth: int = 3, direction: str = "out", label: str | None = None) -> DataFrame:
+    """The vertices of bfs_paths in depth-first order: sorted by path, so that a vertex stands before all that lies behind it."""
+    return bfs_paths(edges, start, depth=depth, direction=direction, label=label).orderBy("path")
+
+
+def shortest_path(edges: DataFrame, a: str, b: str, *, max_depth: int = 10, direction: str = "out", same: bool = False) -> DataFrame:
+    """(path, length): one shortest path from a to b, the smallest in string order; no row without one. Where a is b there
+    is no row either, or with `same` the path of length 0."""
+    if a == b and same:
+        return edges.sparkSession.createDataFrame([([a], 0)], "path array<string>, length long")
+    found = bfs_paths_to(edges, a, b, max_depth if a != b else 0, direction)
+    return found.select("path", (F.size("path") - 1).cast("long").alias("length"))
+
+
+def bfs_paths_to(edges: DataFrame, a: str, b: str, max_depth: int, direction: str) -> DataFrame:
+    """The path of bfs_paths to one vertex; the search ends once it is met."""
     move, spark = steps(edges, direction), edges.sparkSession
     front = spark.createDataFrame([(a, [a])], "v string, path array<string>")
     seen = front.select("v")
-    for _ in range(0 if a == b else max_depth):
+    for _ in range(max_depth):
         nxt = move.join(front.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v"), F.concat("path", F.array("b")).alias("path"))
-        front = cut(nxt.join(seen, "v", "left_anti").groupBy("v").agg(F.min("path").alias("path")))
-        if front.isEmpty():
-            break
+        front = cut(nxt.groupBy("v").agg(F.min("path").alias("path")).join(seen, "v", "left_anti"))
         hit = front.where(F.col("v") == b)
         if not hit.isEmpty():
-            return hit.select("path", (F.size("path") - 1).cast("long").alias("length"))
-        seen = cut(seen.union(front.select("v")))
-    return front.where("false").select("path", F.lit(0).cast("long").alias("length"))
+            return hit.select("path")
+        if front.isEmpty():
+            break
+        seen = seen.union(front.select("v"))
+    return front.where("false").select("path")
+
+
+def trace(starts: DataFrame, hops: list[tuple[DataFrame, str]], *, limit: int = 100) -> DataFrame:
+    """(path): ordered hops from the vertices of `starts` (vertex) over relation tables, each "out" or "in".
+
+    Each vertex of a path goes on to at most `limit` (5,000 at most) next ones per hop, the smallest in string order.
+    """
+    out = starts.select(F.col("vertex").cast("string").alias("at")).distinct().select("at", F.array("at").alias("path"))
+    for relation, direction in hops:
+        place = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        move = steps(relation, direction).join(out.select(F.col("at").alias("a")).distinct(), "a", "left_semi").distinct().withColumn("i", place).where(F.col("i") <= min(limit, 5000))
+        out = out.join(move, F.col("at") == F.col("a")).select(F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
+    return out.select("path")
+
+
+def around(edges: DataFrame, start: str, *, depth: int = 2, nodes: int = 200) -> DataFrame:
+    """Edges between the vertices within `depth` (5 at most) steps either way of a vertex; of more than `nodes` vertices the nearest, then smallest."""
+    near = bfs(edges, start, depth=min(depth, 5), direction="both").orderBy("depth", "vertex").limit(nodes - 1).select("vertex")
+    near = cut(near.union(edges.sparkSession.createDataFrame([(start,)], "vertex string")))
+    return as_edges(edges).join(near.withColumnRenamed("vertex", "src"), "src", "left_semi").join(near.withColumnRenamed("vertex", "dst"), "dst", "left_semi").select("src", "dst", "label", "weight")
 
 
 def cheapest(edges: DataFrame, start: str, *, max_rounds: int = 1000) -> DataFrame:
@@ -109,12 +159,12 @@ def pagerank(edges: DataFrame, *, damping: float = 0.85, iterations: int = 100,
     v = cut(e.select(F.col("src").alias("vertex")).union(e.select("dst")).distinct().join(out.select(F.col("src").alias("vertex"), "n"), "vertex", "left"))
     total = v.count()
     rank = v.select("vertex", "n", F.lit(1.0 / max(1, total)).alias("rank"))
-    for k in range(iterations):
+    for _ in range(iterations):
         flow = e.join(rank.select(F.col("vertex").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("vertex")).agg(F.sum(F.col("rank") / F.col("n")).alias("in"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
         new = rank.join(flow, "vertex", "left").crossJoin(F.broadcast(lost)).select(  # one row
             "vertex", "n", ((1 - damping) / total + damping * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / total)).alias("rank"), F.col("rank").alias("old"))
-        new = cut(new) if tolerance or k % 4 == 3 else new
+        new = cut(new)  # referred to three times in the next round
         rank = new.drop("old")
         if tolerance and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
             break
@@ -127,7 +177,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round takes the smallest label among neighbours and then that label's own label, so labels jump along
     paths and the number of rounds grows with the logarithm of the diameter.
     """
-    e = steps(edges, "both")
+    e = steps(edges, "both").distinct()
     e = cut(e.union(e.select("a", F.col("a").alias("b"))).distinct())
     lab = cut(e.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("component")))
     while True:
@@ -151,13 +201,23 @@ def degree_distribution(edges: DataFrame) -> DataFrame:
     return degrees(edges).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices"))
 
 
+def degree_statistics(edges: DataFrame) -> DataFrame:
+    """(low, high, mean, median) of the vertices' degrees."""
+    return degrees(edges).agg(F.min("degree").alias("low"), F.max("degree").alias("high"), F.avg("degree").alias("mean"), F.median("degree").alias("median"))
+
+
+def mean_clustering(edges: DataFrame) -> DataFrame:
+    """(vertices, mean): the mean local coefficient over vertices with two or more neighbours."""
+    return clustering(edges).agg(F.count(F.lit(1)).alias("vertices"), F.avg("coefficient").alias("mean"))
+
+
 def clustering(edges: DataFrame) -> DataFrame:
     """(vertex, neighbours, coefficient): share of a vertex's neighbour pairs that are linked, for two or more neighbours.
 
     Links count once whatever their direction. Triangles are found from their lowest-degree corner, which bounds
     the pairs that a hub makes.
     """
-    e = steps(edges, "both").where("a != b")
+    e = steps(edges, "both").where("a != b").distinct()
     deg = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     e = cut(e.join(deg, "a").join(deg.select(F.col("a").alias("b"), F.col("n").alias("m")), "b"))
     up = e.where("n < m or (n = m and a < b)").select("a", "b")
@@ -282,8 +342,10 @@ def split_list(text: str) -> list[str]:
 
 
 def analyze(edges: DataFrame, algorithm: str, **options) -> DataFrame:
-    """GRAPH ANALYZE: one of the algorithms by name."""
-    known = {"pagerank": pagerank, "connected_components": connected_components, "degree_distribution": degree_distribution, "clustering_coefficient": clustering, "betweenness_centrality": betweenness, "degrees": degrees}
+    """GRAPH ANALYZE: one of the algorithms by name; `labels` keeps edges of these labels first."""
+    if labels := options.pop("labels", None):
+        edges = subgraph_by_edge_label(edges, labels)
+    known = {"degree_statistics": degree_statistics, "mean_clustering": mean_clustering, "pagerank": pagerank, "connected_components": connected_components, "degree_distribution": degree_distribution, "clustering_coefficient": clustering, "betweenness_centrality": betweenness, "degrees": degrees}
     if algorithm not in known:
         raise ValueError(f"unknown algorithm {algorithm}; known: {', '.join(sorted(known))}")
     return known[algorithm](edges, **options)
@@ -291,7 +353,7 @@ def analyze(edges: DataFrame, algorithm: str, **options) -> DataFrame:
 
 def gcn_layer(edges: DataFrame, features: DataFrame, weights: np.ndarray) -> DataFrame:
     """(id, x): one graph convolution with self loops, symmetric normalisation, a dense map and ReLU. features: (id, x array<double>)."""
-    e = steps(edges, "both").where("a != b")
+    e = steps(edges, "both").where("a != b").distinct()
     nodes = features.select("id")
     e = e.join(nodes.select(F.col("id").alias("a")), "a", "left_semi").join(nodes.select(F.col("id").alias("b")), "b", "left_semi").union(nodes.select(F.col("id").alias("a"), F.col("id").alias("b")))
     deg = e.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
@@ -310,34 +372,49 @@ def pooled(features: DataFrame, how: str = "mean") -> DataFrame:
 
 def forward_chain(triples: DataFrame, *, max_rounds: int = 100) -> DataFrame:
     """(s, p, o): closure under the graph reasoner's rules over the predicates type, subClassOf, inverseOf, domain and range,
-    and the types SymmetricProperty and TransitiveProperty."""
-    facts = cut(triples.select("s", "p", "o").distinct())
-    n = facts.count()
+    and the types SymmetricProperty and TransitiveProperty.
+
+    Semi-naive: each join has the facts of the last round on one of its sides, and only new facts are written.
+    """
+    parts = [cut(triples.select("s", "p", "o").where("s is not null and p is not null and o is not null").distinct())]
+    fresh = parts[0]
     for _ in range(max_rounds):
-        of = lambda p: facts.where(F.col("p") == p).select("s", "o")
-        sub, typ = of("subClassOf"), of("type")
-        sym = typ.where("o = 'SymmetricProperty'").select(F.col("s").alias("p"))
-        trn = typ.where("o = 'TransitiveProperty'").select(F.col("s").alias("p"))
-        inv = of("inverseOf")
-        inv = inv.union(inv.select("o", "s"))
-        t = facts.join(trn, "p", "left_semi")
-        new = [
-            sub.alias("x").join(sub.alias("y"), F.col("x.o") == F.col("y.s")).select("x.s", F.lit("subClassOf").alias("p"), "y.o"),
-            typ.alias("x").join(sub.alias("y"), F.col("x.o") == F.col("y.s")).select("x.s", F.lit("type").alias("p"), "y.o"),
-            facts.join(sym, "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o")),
-            t.alias("x").join(t.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.col("x.o") == F.col("y.s"))).select("x.s", "x.p", "y.o"),
-            facts.alias("f").join(inv.alias("i"), F.col("f.p") == F.col("i.s")).select(F.col("f.o").alias("s"), F.col("i.o").alias("p"), F.col("f.s").alias("o")),
-            facts.alias("f").join(of("domain").alias("d"), F.col("f.p") == F.col("d.s")).select("f.s", F.lit("type").alias("p"), "d.o"),
-            facts.alias("f").join(of("range").alias("d"), F.col("f.p") == F.col("d.s")).select(F.col("f.o").alias("s"), F.lit("type").alias("p"), F.col("d.o").alias("o")),
-        ]
-        for x in new:
-            facts = facts.union(x)
-        facts = cut(facts.distinct())
-        now = facts.count()
-        if now == n:
+        every = reduce(DataFrame.union, parts)
+        new = None
+        for a, b in ((fresh, every), (every, fresh)):  # the two sides of each rule's join
+            of = lambda f, p: f.where(F.col("p") == p)
+            kind = lambda f, t: f.where((F.col("p") == "type") & (F.col("o") == t)).select(F.col("s").alias("p"))
+            pairs = of(b, "inverseOf").select(F.col("s").alias("k"), F.col("o").alias("v"))
+            pairs = pairs.union(pairs.select("v", "k"))
+            on = lambda p: of(b, p).select(F.col("s").alias("k"), F.col("o").alias("v"))
+            up = of(b, "subClassOf").select(F.col("s").alias("k"), F.col("o").alias("v"))
+            steps_ = [
+                a.where("p in ('subClassOf', 'type')").join(up, F.col("o") == F.col("k")).select("s", "p", F.col("v").alias("o")),
+                a.join(kind(b, "SymmetricProperty"), "p", "left_semi").select(F.col("o").alias("s"), "p", F.col("s").alias("o")),
+                a.join(pairs, F.col("p") == F.col("k")).select(F.col("o").alias("s"), F.col("v").alias("p"), F.col("s").alias("o")),
+                a.join(on("domain"), F.col("p") == F.col("k")).select("s", F.lit("type").alias("p"), F.col("v").alias("o")),
+                a.join(on("range"), F.col("p") == F.col("k")).select(F.col("o").alias("s"), F.lit("type").alias("p"), F.col("v").alias("o")),
+            ]
+            for x in steps_:
+                new = x if new is None else new.union(x)
+        # a transitive property: new facts with all others, and all with all where the property has only now become transitive
+        through, now = kind(every, "TransitiveProperty"), kind(fresh, "TransitiveProperty")
+        for x, y, ps in ((fresh, every, through), (every, fresh, through), (every, every, now)):
+            x = x.join(ps, "p", "left_semi")
+            new = new.union(x.alias("x").join(y.alias("y"), (F.col("x.p") == F.col("y.p")) & (F.col("x.o") == F.col("y.s"))).select("x.s", "x.p", "y.o"))
+        fresh = cut(new.distinct().join(every, ["s", "p", "o"], "left_anti"))
+        if fresh.isEmpty():
             break
-        n = now
-    return facts
+        parts.append(fresh)
+    return reduce(DataFrame.union, parts)
+
+
+def backward_chain(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None, **options) -> DataFrame:
+    """(s, p, o): the facts, stated or derived by forward_chain's rules, that meet a goal; a part that isn't given is a variable."""
+    out = forward_chain(triples, **options)
+    for c, v in (("s", s), ("p", p), ("o", o)):
+        out = out if v is None else out.where(F.col(c) == v)
+    return out
 
 
 def rendered(edges: DataFrame, kind: str = "dot", max_edges: int = 10_000) -> str:

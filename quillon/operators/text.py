@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.runtime import cut
+
 K1, B = 1.2, 0.75
 CJK = r"[一-鿿㐀-䶿豈-﫿぀-ヿ가-힯]"
 
@@ -24,8 +26,12 @@ def ngrams(text: Column | str, n: int = 2) -> Column:
     """Character n-grams; a value shorter than n stands for itself."""
     t = F.col(text) if isinstance(text, str) else text
     chars = F.filter(F.split(t, ""), lambda c: c != "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
-    return F.when(F.length(t) < n, F.array(t)).otherwise(grams)
+
+    def grams(cs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(cs) - n, F.lit(0))), lambda i: F.concat(*[F.coalesce(F.get(cs, i + k), F.lit("")) for k in range(n)]))
+
+    # the array of one array binds the characters to a name; written out, they would be split again for every n-gram
+    return F.when(F.length(t) < n, F.array(t)).otherwise(F.get(F.transform(F.array(chars), grams), F.lit(0)))
 
 
 def postings(docs: DataFrame, doc_id: str, fields: list[str]) -> DataFrame:
@@ -48,13 +54,14 @@ def bm25(docs: DataFrame, doc_id: str, fields: list[str], query: str, k: int | N
     terms = spark.range(1).select(F.explode(tokens(F.lit(query))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
     words = [r["term"] for r in terms.collect()]  # the query's own tokens
 
-    def hits(f: str) -> Column:
-        return F.transform(F.filter(tokens(f), lambda x: x.isin(words)), lambda x: F.struct(F.lit(f).alias("field"), x.alias("term")))
+    def hits(f: str, i: int) -> Column:
+        return F.transform(F.filter(f"t{i}", lambda x: x.isin(words)), lambda x: F.struct(F.lit(f).alias("field"), x.alias("term")))
 
-    found = F.concat(*map(hits, fields))
-    size = sum((F.size(tokens(f)) for f in fields), F.lit(0))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(size).alias("avg_len"))
-    hit = docs.select(F.col(doc_id).alias("doc"), size.alias("len"), F.explode(found).alias("h"))
+    # one pass over the texts; what is kept is a length and the hits of each document
+    split = docs.select(F.col(doc_id).alias("doc"), *(tokens(f).alias(f"t{i}") for i, f in enumerate(fields)))
+    kept = cut(split.select("doc", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).alias("len"), F.concat(*(hits(f, i) for i, f in enumerate(fields))).alias("hs")))
+    stats = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    hit = kept.select("doc", "len", F.explode("hs").alias("h"))
     hit = hit.groupBy("h.term", "doc", "h.field", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     x = hit.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").crossJoin(F.broadcast(stats))  # one row per query term, and one

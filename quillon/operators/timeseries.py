@@ -84,24 +84,28 @@ def anomalies(df: DataFrame, keys: list[str], value: str = "value", limit: float
 
 
 def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None) -> float:
-    """Dynamic time warping distance with absolute differences and an optional band; infinite for empty or over-long series."""
+    """Dynamic time warping distance with absolute differences and an optional band; infinite for empty or over-long series.
+
+    Worked diagonal by diagonal (cells i + j = d), each of which follows from the two before in a few array operations.
+    """
     n, m = len(a), len(b)
     if not n or not m or n > 100_000 or m > 100_000:
         return float("inf")
     band = max(n, m) if window is None else max(window, abs(n - m))
-    prev = np.full(m + 1, np.inf)
-    prev[0] = 0
-    for i in range(1, n + 1):
-        cur = np.full(m + 1, np.inf)
-        lo, hi = max(1, i - band), min(m, i + band)
-        cost = np.abs(a[i - 1] - b[lo - 1 : hi])
-        best = np.minimum(prev[lo : hi + 1], prev[lo - 1 : hi])
-        left = np.inf
-        for j in range(lo, hi + 1):
-            left = cost[j - lo] + min(best[j - lo], left)
-            cur[j] = left
-        prev = cur
-    return float(prev[m])
+    before, last, now = (np.full(n + 2, np.inf) for _ in range(3))
+    before[0] = 0.0
+    turned = b[::-1]
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m, -((band - d) // 2)), min(n, d - 1, (d + band) // 2)
+        if lo > hi:  # a band of 0 has no cell on every other diagonal
+            now[:] = np.inf
+        else:
+            cost = np.abs(a[lo - 1 : hi] - turned[m - d + lo : m - d + hi + 1])
+            best = np.minimum(np.minimum(last[lo - 1 : hi], last[lo : hi + 1]), before[lo - 1 : hi])
+            now[lo : hi + 1] = cost + best
+            now[lo - 1] = now[hi + 1] = np.inf
+        before, last, now = last, now, before
+    return float(last[n])
 
 
 def dtw_distances(pairs: DataFrame, a: str, b: str, window: int | None = None) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import partial
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.operators.ontology import Ontology
-from quillon.runtime import load
+from quillon.runtime import exists, load
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
 
@@ -42,6 +41,7 @@ class Engine:
         self.spark, self.ontology = spark, ontology or Ontology()
         self.classes = Frames()
         self.indexes: dict[str, dict] = {}
+        self.statistics: dict[str, DataFrame] = {}
         self.namespace = ""
 
     def qualified(self, name: str) -> str:
@@ -70,11 +70,15 @@ class Engine:
         return dialect.run(self, text, args)
 
     def plain_sql(self, text: str, args: dict | list | None = None) -> DataFrame:
+        parts = re.split(r"('(?:[^'\\]|\\.|'')*')", text)  # string literals are the odd ones
         for name in self.classes:
-            if not re.search(rf"(?<![\w.]){re.escape(name)}(?!\w)", text):
+            word = rf"(?<![\w.]){re.escape(name)}(?![\w])"
+            if not any(re.search(word, p) for p in parts[::2]):
                 continue
             self.table(name).createOrReplaceTempView(name.replace(".", "__"))
-            text = text.replace(name, name.replace(".", "__")) if "." in name else text
+            if "." in name:
+                parts[::2] = [re.sub(word, name.replace(".", "__"), p) for p in parts[::2]]
+        text = "".join(parts)
         return self.spark.sql(text, args=args) if args else self.spark.sql(text)
 
 
@@ -82,6 +86,6 @@ def open_dir(spark: SparkSession, d: str) -> Engine:
     """An engine over the tables of a directory."""
     e = Engine(spark)
     for t in TABLES:
-        if Path(f"{d}/{t}.parquet").exists():
+        if exists(spark, f"{d}/{t}.parquet"):
             e.register(t, partial(load, spark, d, t))
     return e

@@ -36,7 +36,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "join_inner": "SELECT n_name, r_name FROM nation INNER JOIN region ON n_regionkey = r_regionkey",
     "join_left": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'",
     "join_right": "SELECT s_suppkey, n_name FROM supplier RIGHT JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 5000",
-    "join_full": "SELECT a.c_custkey AS left_key, b.s_suppkey AS right_key FROM (SELECT * FROM customer WHERE c_acctbal > 0) a FULL OUTER JOIN supplier b ON a.c_custkey = b.s_suppkey",
+    "join_full": "SELECT a.c_custkey AS left_key, b.s_suppkey AS right_key FROM customer a FULL OUTER JOIN supplier b ON a.c_custkey = b.s_suppkey",
     "join_cross": "SELECT r_name, s_suppkey FROM region, supplier",
     "join_implicit": "SELECT c_name, o_orderkey FROM customer, orders WHERE c_custkey = o_custkey AND o_totalprice > 180000",
     "join_multiway": (
@@ -53,7 +53,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "agg_group": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS qty, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(20, 4))) AS DOUBLE) AS revenue, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus",
     "agg_count_distinct": "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_returnflag",
     "agg_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
-    "agg_stddev_pop": "SELECT event_type, count(*) AS n, round(stddev_pop(value), 6) AS sd, round(avg(value), 6) AS mean FROM events GROUP BY event_type",
     "agg_rollup": "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ROLLUP (p_brand, p_size)",
     # windows
     "win_row_number": ("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM orders", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders"),
@@ -86,7 +85,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "fn_length_trim": ("SELECT p_partkey, CAST(length(trim(concat('  ', p_name, ' '))) AS BIGINT) AS n FROM part", "SELECT p_partkey, length(trim('  ' || p_name || ' ')) AS n FROM part"),
     "fn_abs_round": "SELECT c_custkey, abs(c_acctbal) AS a, round(c_acctbal, 1) AS r1, round(c_acctbal) AS r0 FROM customer",
     "fn_arith": "SELECT l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity, 0) * 2 - l_tax + 1, 6) AS x, 7 / 2 AS q FROM lineitem",
-    "fn_content_hash": ("SELECT doc_id, sha2(text, 256) AS h FROM documents", "SELECT doc_id, sha256(text) AS h FROM documents"),
 }
 SQL["agg_global"] = (
     SQL["agg_global"][0].replace("avg(CAST(l_quantity AS DECIMAL(10, 0)))", "round(CAST(sum(CAST(l_quantity AS DECIMAL(18, 0))) AS DOUBLE) / count(*), 4)"),
@@ -191,9 +189,52 @@ def agg_percentile_nearest(spark: SparkSession, d: str) -> DataFrame:
     return nearest_rank_percentile(load(spark, d, "events"), ["event_type"], "value", 90).select(F.col("total").alias("n"), "value")
 
 
-@query("SELECT count(*) AS n_after, sum((l_quantity > 25)::INT)::BIGINT AS above FROM lineitem")
+@query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_dev, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
+def agg_stddev_pop(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.operators.timeseries import statistics
+
+    return statistics(load(spark, d, "events"), ["event_type"]).withColumns({"mean": F.round("mean", 6), "std_dev": F.round("std_dev", 6)})
+
+
+@query("SELECT doc_id, sha256(text) AS h FROM documents")
+def fn_content_hash(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.functions.scalar import content_hash
+
+    return load(spark, d, "documents").select("doc_id", content_hash("text").alias("h"))
+
+
+@query("SELECT count(*) AS n FROM lineitem")
 def index_count(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n_after"), F.count_if(F.col("l_quantity") > 25).alias("above"))
+    return open_dir(spark, d).sql("SELECT count(*) AS n FROM lineitem")  # from the files' footers; no column is read
+
+
+@query("SELECT CASE WHEN n_nationkey < 2 THEN upper(n_name) || '!' ELSE n_name END AS n_name, n_nationkey, CASE WHEN n_nationkey < 2 THEN 4 ELSE n_regionkey END AS n_regionkey FROM nation UNION ALL SELECT 'new', 77, 3")
+def insert_on_conflict(spark: SparkSession, d: str) -> DataFrame:
+    e = open_dir(spark, d)
+    names = {r["n_nationkey"]: r["n_name"] for r in load(spark, d, "nation").where("n_nationkey < 2").collect()}
+    e.sql(f"INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (0, '{names[0]}', 4), (1, '{names[1]}', 4), (77, 'new', 3), (77, 'new', 2) ON CONFLICT (n_nationkey) DO UPDATE SET n_name = CASE WHEN n_nationkey < 2 THEN concat(upper(excluded.n_name), '!') ELSE n_name END, n_regionkey = excluded.n_regionkey")
+    return e.table("nation")
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1 ORDER BY n_nationkey LIMIT 2) THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation")
+def update_limit(spark: SparkSession, d: str) -> DataFrame:
+    e = open_dir(spark, d)
+    e.sql("UPDATE nation SET n_regionkey = 9 WHERE n_regionkey = 1 LIMIT 2")
+    return e.table("nation")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 50, 'it''s, new'")
+def insert_set(spark: SparkSession, d: str) -> DataFrame:
+    e = open_dir(spark, d)
+    e.sql("INSERT INTO region SET r_regionkey = 50, r_name = 'it''s, new'")
+    return e.table("region")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 0.75 ELSE 0.5 END::DOUBLE AS score, (c_acctbal > 5000)::BIGINT AS activations FROM customer")
+def activate(spark: SparkSession, d: str) -> DataFrame:
+    e = open_dir(spark, d)
+    e.sql("SYSTEM ACTIVATE customer BY 0.25 WHERE c_acctbal > 5000")
+    return e.table("customer").select("c_custkey", "score", "activations")
 
 
 @query("SELECT column_name, data_type FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) t(column_name, data_type)")
@@ -201,8 +242,11 @@ def describe(spark: SparkSession, d: str) -> DataFrame:
     return open_dir(spark, d).sql("DESCRIBE nation").select(F.col("col_name").alias("column_name"), "data_type")
 
 
-@query("SELECT 'customer' AS class_name, count(*) AS row_count, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS segments FROM customer")
-def table_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "customer")
-    return c.agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("c_mktsegment").alias("segments")).withColumn("class_name", F.lit("customer"))
+_STAT = "SELECT 'customer' AS class_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS nulls, min({c})::VARCHAR AS low, max({c})::VARCHAR AS high FROM customer"
+
 
+@query(" UNION ALL ".join(_STAT.format(c=c) for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+def table_stats(spark: SparkSession, d: str) -> DataFrame:
+    e = open_dir(spark, d)
+    e.sql("ANALYZE customer")
+    return e.sql("SHOW TABLE STATS customer").where("column_name != 'c_acctbal'").drop("about_distinct")  # doubles are written differently

@@ -13,6 +13,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, asked of the file system that it names (local, shared or an object store)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names in spark.checkpoint.dir; only where none is set, a local one."""
     sc = spark.sparkContext
@@ -27,10 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, which survives the loss of an executor.
 
-    toDF gives the columns new attributes: several checkpoints that share one can't be planned together.
+    A checkpoint keeps the attributes and constraints of the plan that it cuts, and Spark fails to plan unions of several
+    that share some; so its rows are taken as a new source. Joins are then chosen by the sizes met at run time.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.toDF(*df.columns).checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def epoch_us(col: Column | str) -> Column:

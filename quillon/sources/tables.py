@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +55,19 @@ def insert(df: DataFrame, rows: DataFrame) -> DataFrame:
     return df.unionByName(named, allowMissingColumns=True)
 
 
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of several rows with one key the one that is largest over its other columns, in their order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*keys, "__r.*") if rest else rows.distinct()
+
+
 def upsert(df: DataFrame, rows: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
     """Insert rows whose key is new; where it is known, set the columns `update` (default: all others).
 
-    Keys are compared null-safely and must be unique in `rows`; of repeated ones an arbitrary but single row per
-    key would be needed, so a repeat raises no error and updates as many times as it matches.
+    Keys are compared null-safely. Of several rows with one key the one that is largest over its other columns, in
+    their order, counts, so a key is inserted or updates its row once.
     """
+    rows = one_per_key(rows, keys)
     update = [c for c in rows.columns if c not in keys] if update is None else update
     on = reduce(lambda a, b: a & b, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
     old = df.withColumn("__old", F.lit(True)).alias("o")
@@ -76,8 +83,17 @@ def upsert(df: DataFrame, rows: DataFrame, keys: list[str], update: list[str] |
     return old.join(new, on, "full").select([pick(c) for c in df.columns])
 
 
-def update(df: DataFrame, values: dict[str, Column], where: Column | None = None) -> DataFrame:
-    """Set columns of the rows for which `where` is true (null counts as false)."""
+def update(df: DataFrame, values: dict[str, Column], where: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Set columns of the rows for which `where` is true (null counts as false), of at most `limit` of them: the first by
+    all columns in order."""
+    if limit is not None:
+        hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        some = df.where(hit).orderBy(*df.columns).limit(limit).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__most"))
+        same = reduce(lambda a, b: a & b, (F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}")) for c in df.columns))
+        place = F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(0)))  # equal rows
+        rows = df.withColumn("__i", place).alias("d").join(F.broadcast(some.alias("s")) if limit <= 100_000 else some.alias("s"), same, "left")
+        taken = rows.select("d.*", (F.col("__i") <= F.coalesce("s.__most", F.lit(0))).alias("__hit")).drop("__i")
+        return update(taken, values, F.col("__hit")).drop("__hit")
     hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     return df.select([F.when(hit, values[c].cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
 

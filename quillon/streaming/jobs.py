@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState
 
+from quillon.runtime import is_folder
 from quillon.sources.tables import scratch
 
 
@@ -20,9 +21,7 @@ def source(spark: SparkSession, d: str, table: str, max_files: int | None = None
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    from pathlib import Path
-
-    return r.parquet(f"{d}/{table}.parquet") if Path(f"{d}/{table}.parquet").is_dir() else r.option("pathGlobFilter", f"{table}.parquet").parquet(d)
+    return r.parquet(f"{d}/{table}.parquet") if is_folder(spark, f"{d}/{table}.parquet") else r.option("pathGlobFilter", f"{table}.parquet").parquet(d)
 
 
 def run(stream: DataFrame, mode: str = "update", path: str | None = None) -> DataFrame:
@@ -53,6 +52,44 @@ def window_counts(events: DataFrame, keys: list[str], size: str, late: str = "1
     return e.groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), *keys, "n", "total")
 
 
+def session_counts(events: DataFrame, keys: list[str], gap: str, late: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """(start, end, keys, n, total) of sessions that end after a silence of `gap`; to be run in complete or append mode."""
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    out = e.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), *keys, "n", "total")
+
+
+def windowed_degrees(edges: DataFrame, size: str, late: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """(start, vertex, out_degree, in_degree) of the edges (src, dst, ts) of each window of event time."""
+    e = edges.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    ends = e.select(ts, F.explode(F.array(F.struct(F.col("src").alias("v"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("v"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("x"))
+    out = ends.groupBy(F.window(ts, size).alias("w"), F.col("x.v").alias("vertex")).agg(F.sum("x.o").alias("out_degree"), F.sum("x.i").alias("in_degree"))
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "vertex", "out_degree", "in_degree")
+
+
+def run_components(edges: DataFrame, path: str | None = None) -> DataFrame:
+    """(vertex, component) after a stream of edges (src, dst): each batch joins its edges to the components known before.
+
+    Edges are only ever added. A batch that is run again starts from the same components and replaces its own result.
+    """
+    from quillon.operators.graph import connected_components
+
+    spark, path = edges.sparkSession, path or scratch(edges.sparkSession, "components")
+    schema, done = "vertex string, component string", []
+
+    def step(df: DataFrame, batch: int) -> None:
+        before = [b for b in done if b < batch]
+        links = df.select("src", "dst")
+        if before:
+            links = links.union(spark.read.schema(schema).parquet(f"{path}/out/{before[-1]}").select("vertex", "component"))
+        connected_components(links).write.mode("overwrite").parquet(f"{path}/out/{batch}")
+        done.append(batch)
+
+    q = edges.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/state").queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out/{done[-1]}") if done else spark.createDataFrame([], schema)
+
+
 def degree_stream(edges: DataFrame) -> DataFrame:
     """(vertex, out_degree, in_degree) over a stream of (src, dst, op); op 'delete' takes an edge away, never below 0."""
     sign = F.when(F.col("op") == "delete", -1).otherwise(1) if "op" in edges.columns else F.lit(1)

@@ -37,15 +37,15 @@ def test_components_and_clustering(spark, lines):
         while todo:
             todo += [w for w in near[todo.pop()] if w not in seen and not seen.add(w)]
         comp[v] = min(seen)
-    assert {r.vertex: r.component for r in QUERIES["components_all"](spark, d).collect()} == comp and len(set(comp.values())) == 2
+    assert {r.vertex: r.component for r in QUERIES["components"](spark, d).collect()} == comp and len(set(comp.values())) == 2
     share = {v: sum(b in near[a] for a, b in itertools.combinations(ns, 2)) / (len(ns) * (len(ns) - 1) / 2) for v, ns in near.items() if len(ns) > 1}
-    assert {r.vertex: r.coefficient for r in QUERIES["clustering_all"](spark, d).collect()} == pytest.approx(share, abs=1e-6)
+    assert {r.vertex: r.coefficient for r in QUERIES["clustering"](spark, d).collect()} == pytest.approx(share, abs=1e-6)
 
 
 def test_matches(spark, lines):
     d, links = lines
     want = sorted((a, b, c) for a, b in links for x, c in links if b == x)
-    assert sorted((r.a, r.b, r.c) for r in QUERIES["match_injective_all"](spark, d).collect()) == want
+    assert sorted((r.a, r.b, r.c) for r in QUERIES["match_injective"](spark, d).collect()) == want
 
 
 def test_betweenness(spark, lines):
