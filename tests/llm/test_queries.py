@@ -5,7 +5,8 @@ from quillon.llm.queries import ORACLES, QUERIES
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, small, duck, same_rows, name):
-    df = QUERIES[name](spark, small)
+    # a hundred documents can't be mixed to a share within 0.002; mix_target is the same in every size
+    df = QUERIES[name](spark, small.replace("sf0.001", "sf0.01") if name == "p9_on_target" else small)
     if name in ORACLES:
         same_rows(df, duck.sql(ORACLES[name]))
     else:
