@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quillon.operators.spikes import flag_readings, gesd_critical
+from quillon.queries import corpus
 
 R = "report_id long, ts timestamp_ntz, readings array<struct<sensor_id: string, sensor_type: string, value: double, unit: string, ts: timestamp_ntz>>, v double, us long"
 L = "sensor_type string, unit string, min_value double, max_value double"
@@ -93,6 +94,37 @@ def test_seasonal_parts_are_the_same_in_segments(spark):
     assert whole["a", 77].spike and all(whole["a", i].frozen for i in range(200, 208))
 
 
+@pytest.mark.parametrize("hot", [50, 10**6])
+def test_limit_after_the_esd_test(spark, hot):
+    r = random.Random(9)
+    n = 48 * 10
+    swing = [20 + 5 * math.sin(2 * math.pi * i / 48) + r.gauss(0, 0.2) for i in range(n)]
+    swing[100], swing[300], swing[301] = 130.0, -55.0, 400.0  # the last one is out of range
+    many = [20 + r.gauss(0, 0.2) + (60 if r.random() < 0.3 else 0) for _ in range(n)]  # more than the test may take away
+    daily = [20 + r.gauss(0, 0.2) + (30 if i % 48 == 7 else 0) for i in range(n)]  # all of it season
+    shifted = [20 + r.gauss(0, 0.2) + (30 if i > n - 60 else 0) for i in range(n)]  # all of it trend
+    still = [20.0] * 40 + [20.1, 19.0] + [20.0] * 40
+    series = {"swing": swing, "many": many, "daily": daily, "shifted": shifted, "still": still, "few": [20.0, 21.0, 20.5, 99.0, 20.2]}
+    f = flags(spark, series, hot, max_mads=20.0, phases=48)
+    for s, values in series.items():
+        rows = sorted((i, x) for (name, i), x in f.items() if name == s)
+        v = np.array(values)
+        inside = (v >= -60) & (v <= 150)
+        off = np.abs(v - np.median(v[inside]))
+        assert [x.spike for _, x in rows] == (off > 20 * np.median(off[inside])).tolist(), s
+        y = np.array([x.residual for _, x in rows])[inside]
+        esd = [x.esd for _, x in rows]
+        want = plain_esd(y - np.median(y), min(int(len(y) * 0.05) + 1, len(y) - 3), 0.001)
+        if s not in ("still", "few"):  # equal values, which of them go is open here
+            assert {k for k, i in enumerate(np.flatnonzero(inside)) if esd[i]} == want, s
+        if s == "swing":
+            assert {100, 300} <= {k for k, e in enumerate(esd) if e} and [x.checked for _, x in rows] == (np.array(esd) | ~inside).tolist()
+
+
+def test_p5_found_runs_the_esd_test(spark, small):
+    assert "esd_taken(" in corpus.p5_found(spark, small)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty(spark):
     assert flag_readings(spark.createDataFrame([], R), spark.createDataFrame([], L)).count() == 0
     assert flag_readings(spark.createDataFrame([], R), spark.createDataFrame([], L), trend_s=None, period_s=None, max_mads=20.0).count() == 0
