@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.operators import graph
 from quillon.queries.multimodal import GCN, QUERIES
 
 N = 7
@@ -75,3 +77,36 @@ def test_gcn(spark, lines):
     want = np.maximum(0, (n[:, None] * a * n) @ x @ np.array(GCN))
     for r in QUERIES["gcn"](spark, d).collect():
         assert [r.x0, r.x1] == pytest.approx(list(want[int(r.id[10:])]), abs=1e-6)
+
+
+def written(spark):
+    """Bytes that all shuffles of the session wrote so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    known = sc.statusStore().executorList(False)
+    return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+
+@pytest.mark.parametrize("group_rows", [2_000_000, 40])
+def test_clustering_in_groups(spark, group_rows):
+    r = random.Random(3)
+    links = {(a, b) for a, b in itertools.product(range(150), repeat=2) if r.random() < (0.9 if max(a, b) < 40 else 0.03)} | {(0, x) for x in range(150)}  # dense, sparse, a hub, loops
+    near = both({(f"n{a}", f"n{b}") for a, b in links if a != b})
+    share = {v: (len(ns), sum(b in near[a] for a, b in itertools.combinations(ns, 2)) / (len(ns) * (len(ns) - 1) / 2)) for v, ns in near.items() if len(ns) > 1}
+    e = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in [*links, *links]], "src string, dst string")
+    got = {x.vertex: (x.neighbours, x.coefficient) for x in graph.clustering(e, group_rows=group_rows).collect()}
+    assert {v: n for v, (n, _) in got.items()} == {v: n for v, (n, _) in share.items()}
+    assert {v: c for v, (_, c) in got.items()} == pytest.approx({v: c for v, (_, c) in share.items()})
+
+
+def test_clustering_writes_no_triangles(spark):
+    ids = spark.range(300)
+    e = ids.alias("a").join(ids.alias("b"), F.col("a.id") < F.col("b.id")).select(F.concat(F.lit("n"), "a.id").alias("src"), F.concat(F.lit("n"), "b.id").alias("dst"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more links than can be broadcast
+    try:
+        before = written(spark)
+        assert {(r.neighbours, r.coefficient) for r in graph.clustering(e).collect()} == {(299, 1.0)}
+        assert written(spark) - before < 5_000_000  # 4.5 million triangles take more
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
