@@ -110,3 +110,54 @@ def test_clustering_writes_no_triangles(spark):
         assert written(spark) - before < 5_000_000  # 4.5 million triangles take more
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def brandes(links, names):
+    out, want = {v: sorted({b for a, b in links if a == v}) for v in names}, dict.fromkeys(names, 0.0)
+    for s in names:
+        level, paths, queue, part = {s: 0}, {s: 1}, [s], dict.fromkeys(names, 0.0)
+        for v in queue:
+            for w in out[v]:
+                if w not in level:
+                    level[w], paths[w] = level[v] + 1, 0
+                    queue.append(w)
+                paths[w] += paths[v] * (level[w] == level[v] + 1)
+        for v in reversed(queue):
+            part[v] = sum(paths[v] / paths[w] * (1 + part[w]) for w in out[v] if level[w] == level[v] + 1)
+            want[v] += part[v] * (v != s)
+    return {v: c / ((len(names) - 1) * (len(names) - 2)) for v, c in want.items()}
+
+
+def test_betweenness_dense_and_deep(spark):
+    r = random.Random(8)
+    dense = {(f"d{a}", f"d{b}") for a, b in itertools.product(range(60), repeat=2) if r.random() < 0.5}  # loops too
+    deep = {(f"p{i}", f"p{i + k}") for i in range(120) for k in (1, 3)} | {(f"p{120 + 3}", "p5"), ("d3", "p0"), ("x", "x")}
+    links = sorted(dense | deep)
+    e = spark.createDataFrame([*links, *links], "src string, dst string")
+    assert {x.vertex: x.centrality for x in graph.betweenness(e).collect()} == pytest.approx(brandes(links, sorted({v for x in links for v in x})))
+
+
+@pytest.mark.parametrize("most", [1, 7])
+def test_dependencies_either_way(most):
+    r = random.Random(9)
+    n = 50
+    links = [(a, b) for a, b in itertools.product(range(n), repeat=2) if r.random() < 0.08]
+    near = [sorted(b for a, b in links if a == v) for v in range(n)]
+    count = np.array([len(x) for x in near])
+    to, start, total, each = np.array(sum(near, []), np.int32), np.cumsum(count) - count, np.zeros(n), []
+    for sources, reach, part in graph._blocks(np.arange(n), to, start, count, most):
+        m = np.zeros((len(reach), len(reach)))
+        m[np.repeat(np.arange(len(reach)), part[2]), part[0]] = 1
+        assert graph._sparse(sources, *part) == pytest.approx(graph._dense(sources, m))
+        total[reach] += graph._sparse(sources, *part)
+        each += reach[sources].tolist()
+    assert sorted(each) == np.flatnonzero(count).tolist()
+    want = brandes(links, range(n))
+    assert total / ((n - 1) * (n - 2)) == pytest.approx([want[v] for v in range(n)])
+
+
+def test_betweenness_over_two_million_edges(spark):
+    many = spark.range(1500).select(F.concat(F.lit("a"), "id").alias("src"))
+    e = many.crossJoin(spark.range(1500).select(F.concat(F.lit("b"), "id").alias("dst"))).union(many.select("src", F.lit("m"))).union(spark.createDataFrame([("m", "t")], "src string, dst string"))
+    got = {r.vertex: r.centrality for r in graph.betweenness(e).where("centrality != 0").collect()}
+    assert got == pytest.approx({"m": 1500 / (3001 * 3000)})
